@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, quality, simhash
+from . import bpe, decontam, pii, quality, simhash
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,10 +30,14 @@ def op7_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_report(table(spark, sf_dir, "documents"))
 
 
+def op8_weak_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pii_report(table(spark, sf_dir, "documents"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_winnowing, op6_bpe_round_trip, op7_line_quality, op9_simhash)}
+QUERIES = {f.__name__: f for f in (op2_winnowing, op6_bpe_round_trip, op7_line_quality, op8_weak_pii, op9_simhash)}
 
 ORACLE_SQL: dict[str, str] = {}
