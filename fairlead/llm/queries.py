@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, decontam, pii, quality, simhash
+from . import bpe, chat, decontam, language_id, pii, quality, simhash
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,10 @@ def vocabulary(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
+
+
 def op2_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("items")
 
@@ -45,7 +49,7 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_winnowing, op3_budgeted_chat, op6_bpe_round_trip, op7_line_quality, op8_weak_pii, op9_simhash)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_winnowing, op3_budgeted_chat, op6_bpe_round_trip, op7_line_quality, op8_weak_pii, op9_simhash)}
 
 ORACLE_SQL: dict[str, str] = {}
 
