@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, decontam, html_extract, language_id, license_scan, pii, quality, simhash
+from . import bpe, chat, decontam, html_extract, language_id, license_scan, lm_score, pii, quality, simhash
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +37,10 @@ def op4_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents"))
 
 
+def op5_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score(table(spark, sf_dir, "documents"))
+
+
 def op6_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(table(spark, sf_dir, "documents"), vocabulary())
 
@@ -57,7 +61,7 @@ def op10_host_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_winnowing, op3_budgeted_chat, op4_license_rules, op6_bpe_round_trip, op7_line_quality, op8_weak_pii, op9_simhash, op10_host_paths)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_winnowing, op3_budgeted_chat, op4_license_rules, op5_pseudo_likelihood, op6_bpe_round_trip, op7_line_quality, op8_weak_pii, op9_simhash, op10_host_paths)}
 
 ORACLE_SQL: dict[str, str] = {}
 
