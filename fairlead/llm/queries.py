@@ -105,3 +105,45 @@ SELECT t.conv_id, count(*) AS n_turns,
        cast(sum(chars) + coalesce(max(again), 0) AS BIGINT) AS formatted_chars
 FROM sized t LEFT JOIN repeats r ON r.conv_id = t.conv_id GROUP BY t.conv_id
 """
+
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+ORACLE_SQL["op2_winnowing"] = rf"""
+WITH d AS (
+    SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents
+), b AS (
+    SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark
+), b1 AS (SELECT item_id, ws, least(10, len(ws)) AS n, unnest(range(1, len(ws) - least(10, len(ws)) + 2)) AS i FROM b WHERE len(ws) > 0
+), windows AS (SELECT DISTINCT item_id, n, array_to_string(ws[i:i + n - 1], ' ') AS win FROM b1
+), sizes AS (SELECT DISTINCT n FROM windows
+), dw AS (SELECT rid, ws, n, unnest(range(1, len(ws) - n + 2)) AS i FROM d, sizes
+), hit AS (SELECT rid, i, dw.n, item_id FROM dw JOIN windows ON windows.n = dw.n AND windows.win = array_to_string(ws[i:i + dw.n - 1], ' ')
+), pos AS (SELECT rid, count(DISTINCT p) AS n_hit FROM (SELECT rid, unnest(range(i, i + n)) AS p FROM hit) GROUP BY rid
+), its AS (SELECT rid, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT rid, item_id::VARCHAR AS item FROM hit) GROUP BY rid)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM d LEFT JOIN pos ON pos.rid = d.rid LEFT JOIN its ON its.rid = d.rid
+"""
+
+_rules = quality.QualityRules()
+
+ORACLE_SQL["op7_line_quality"] = rf"""
+WITH d AS (
+    SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS body, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), w AS (SELECT rid, ws, unnest(range(1, len(ws) - 6)) AS i FROM d
+), win AS (SELECT rid, i, array_to_string(ws[i:i + 7], ' ') AS win FROM w
+), twice AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, win) AS n FROM win) WHERE n > 1
+), rep AS (SELECT rid, count(DISTINCT p) AS n FROM (SELECT rid, unnest(range(i, i + 8)) AS p FROM twice) GROUP BY rid
+), l AS (SELECT rid, unnest(string_split(body, chr(10))) AS line FROM d
+), l1 AS (SELECT rid, line, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS ws, length(regexp_replace(line, '[^#*$%&|<>]', '', 'g')) AS marks, length(regexp_replace(line, '[^!]', '', 'g')) AS exclaims FROM l
+), l2 AS (SELECT rid, line, len(ws) AS n, marks, exclaims, len(list_filter(ws, lambda x: x = '|' OR x = '>')) AS alone FROM l1 WHERE len(ws) > 0
+), l3 AS (
+    SELECT *, (alone >= {_rules.min_separators} OR (alone > 0 AND 100 * alone >= {_rules.separator_percent} * n) OR 100 * marks > {_rules.symbol_percent} * n
+        OR 100 * exclaims > {_rules.exclaim_percent} * n OR (n <= {_rules.boilerplate_words} AND regexp_matches(line, '(?i){"|".join(quality.BOILERPLATE)}'))) AS fails FROM l2
+), ln AS (SELECT rid, count(*) - count(DISTINCT line) AS dup, coalesce(sum(n) FILTER (fails), 0) AS lost FROM l3 GROUP BY rid
+), m AS (
+    SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::BIGINT AS word_chars,
+           length(regexp_replace(body, '[^#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(dup, 0) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words, coalesce(lost, 0)::BIGINT AS n_lost_words
+    FROM d LEFT JOIN rep ON rep.rid = d.rid LEFT JOIN ln ON ln.rid = d.rid
+), v AS (SELECT *, n_words < {_rules.min_words} OR 100 * n_repeat_words > {_rules.max_repeat_percent} * n_words AS base_failed FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND 100 * n_lost_words <= {_rules.max_lost_percent} * n_words AS kept, n_lost_words FROM v
+"""
