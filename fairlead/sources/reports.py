@@ -76,7 +76,9 @@ def read_days(spark: SparkSession, listing: DataFrame, chunk_rows: int = 200_000
                                 known = [c for c in names if c in chunk.columns]
                                 if len(known) < 4 or "MMSI" not in known:
                                     raise ValueError("not a file of position reports")
-                                yield chunk.reindex(columns=names).assign(path=path, problem=None)[[x.name for x in RAW]]
+                                plain = chunk.reindex(columns=names).astype(object)
+                                plain = plain.where(plain.notna(), None)
+                                yield plain.assign(path=str(path), problem=None)[[x.name for x in RAW]]
                 except Exception as problem:  # a file that cannot be read is told of, the others go on
                     yield pd.DataFrame([[path, *[None] * len(names), f"{type(problem).__name__}: {problem}"]], columns=[x.name for x in RAW])
 

@@ -278,8 +278,8 @@ def replay(messages: DataFrame, assets: Assets | None = None, cleaning: Cleaning
     return dealt.mapInPandas(run, RESULT)
 
 
-def follow(messages: DataFrame, assets: Assets | None = None, cleaning: Cleaning = Cleaning(), resampling: Resampling = Resampling(), rules: Prediction = Prediction(), arrival: str = "arrival", idle_ms: int = 24 * 3600 * 1000) -> DataFrame:
-    """The same for a stream. A track that hears nothing for ``idle_ms`` is forgotten."""
+def follow(messages: DataFrame, assets: Assets | None = None, cleaning: Cleaning = Cleaning(), resampling: Resampling = Resampling(), rules: Prediction = Prediction(), arrival: str = "arrival", idle_ms: int | None = 24 * 3600 * 1000) -> DataFrame:
+    """The same for a stream. A track that hears nothing for ``idle_ms`` is forgotten; with None none ever is."""
     from pyspark.sql.streaming.state import GroupStateTimeout
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
@@ -291,8 +291,9 @@ def follow(messages: DataFrame, assets: Assets | None = None, cleaning: Cleaning
         heard = pd.concat(list(batches)).sort_values(arrival, kind="stable")
         rows = [x for row in heard[["t", "lon", "lat", "sog", "cog"]].itertuples(index=False, name=None) if (x := step(int(key[0]), track, row, cleaning, resampling.seconds, rules, forecaster))]
         state.update((track.dump(),))
-        state.setTimeoutDuration(idle_ms)
+        if idle_ms is not None:
+            state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame(rows, columns=NAMES)
 
     wanted = messages.where("mmsi IS NOT NULL AND t IS NOT NULL").select("mmsi", arrival, "t", "lon", "lat", "sog", "cog")
-    return wanted.groupBy("mmsi").applyInPandasWithState(run, RESULT, "track string", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return wanted.groupBy("mmsi").applyInPandasWithState(run, RESULT, "track string", "append", GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout)
