@@ -95,6 +95,6 @@ def register(spark) -> None:
         "sqrt(1 - least(greatest(pow(sin(radians(lat2 - lat1) / 2), 2) + cos(radians(lat1)) * cos(radians(lat2)) * pow(sin(radians(lon2 - lon1) / 2), 2), 0D), 1D)))"
     )
     spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION bearing_between(a DOUBLE, b DOUBLE, share DOUBLE) RETURNS DOUBLE RETURN pmod(a + share * (b - a + CASE WHEN b - a > 180 THEN -360 WHEN b - a < -180 THEN 360 ELSE 0 END), 360D)")
-    from .dtw import dtw_column
+    from .dtw import flat_dtw
 
-    spark.udf.register("route_dtw", dtw_column)
+    spark.udf.register("route_dtw", flat_dtw)

@@ -479,7 +479,7 @@ def routes_of(spark, sf_dir):
     tracks = settle(tracks)
     groups = members.select("pos", F.col("gid").alias("s_label"), F.col("gid").alias("e_label"))
     fine, heads = cluster.refine(groups, tracks)
-    merged = settle(cluster.merge(fine, heads, tracks, Clustering(merge_threshold=2.6)))
+    merged = settle(cluster.merge(fine, heads, tracks, Clustering(merge_threshold=1.0)))
     return (*cluster.finalize(merged, tracks), tracks)
 
 
