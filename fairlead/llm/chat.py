@@ -50,6 +50,15 @@ def restored(text: Column) -> Column:
     return F.regexp_replace(text, r"<\\(\\*)\|", "<$1|")
 
 
+def fixed(df: DataFrame) -> DataFrame:
+    """The same rows with computed columns as they are.
+
+    The optimizer would otherwise write their expressions into lambdas that refer
+    to them, which are then evaluated again for each element of an array.
+    """
+    return df.select(F.inline(F.array(F.struct(*df.columns))))
+
+
 def format_windows(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", rules: WindowRules = WindowRules()) -> DataFrame:
     """Windows of each conversation.
 
@@ -68,7 +77,8 @@ def format_windows(turns: DataFrame, conv_col: str = "conv_id", turn_col: str =
     cost = F.transform("turns", lambda x: F.ceil(x["chars"] / F.lit(rules.chars_per_token)).cast("long"))
     sums = F.aggregate("cost", F.array(F.lit(0).cast("long")), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
     has_system = (F.element_at("turns", 1)["role"] == "system").cast("int")
-    sized = packed.select("conv", "turns", cost.alias("cost"), has_system.alias("first")).select("*", sums.alias("sums"))
+    sized = fixed(packed.select("conv", "turns", cost.alias("cost"), has_system.alias("first")))
+    sized = fixed(sized.select("*", sums.alias("sums")))
 
     # ``sums[i]`` holds the tokens before turn i. Only so many turns can stand in the history:
     reach = max(1, rules.history * rules.chars_per_token // (len(START) + len(END) + 2) + 1)
@@ -97,7 +107,7 @@ def format_windows(turns: DataFrame, conv_col: str = "conv_id", turn_col: str =
     # The first body turn always joins the first window, even if it is larger than the budget.
     joined = F.when(F.size(later) > 0, F.struct(begun["windows"].alias("windows"), (begun["used"] + F.col("cost")[F.col("first")]).alias("used"))).otherwise(begun)
     windows = F.aggregate(F.slice(later, 2, F.greatest(F.size(later) - 1, F.lit(0))), joined, step)["windows"]
-    cut = sized.select("conv", "turns", "first", windows.alias("windows")).select(
+    cut = fixed(sized.select("conv", "turns", "first", windows.alias("windows"))).select(
         "conv",
         "turns",
         "first",
@@ -124,13 +134,15 @@ def format_windows(turns: DataFrame, conv_col: str = "conv_id", turn_col: str =
             F.when(x["target"], F.concat(acc["spans"], F.array(F.struct((acc["at"] + x["lead"]).alias("start"), (acc["at"] + x["lead"] + x["long"]).alias("end"))))).otherwise(acc["spans"]).alias("spans"),
         ),
     )["spans"]
-    return shown.select(F.col("conv").alias(conv_col), "window", text.alias("text"), "n_repeated", marked.alias("targets"))
+    return fixed(shown.select("conv", "window", "n_repeated", text.alias("text"), marked.alias("targets"))).select(F.col("conv").alias(conv_col), "window", "text", "n_repeated", "targets")
 
 
 def read_back(windows: DataFrame, conv_col: str = "conv_id") -> DataFrame:
     """Digests of turns and targets, from the formatted texts alone."""
+    windows = fixed(windows.select("*", F.split("text", r"<\|im_start\|>").alias("pieces of text")))
+    pieces = F.col("pieces of text")
     turns = F.transform(
-        F.slice(F.split("text", r"<\|im_start\|>"), F.col("n_repeated") + 2, F.greatest(F.size(F.split("text", r"<\|im_start\|>")) - 1 - F.col("n_repeated"), F.lit(0))),
+        F.slice(pieces, F.col("n_repeated") + 2, F.greatest(F.size(pieces) - 1 - F.col("n_repeated"), F.lit(0))),
         lambda x: F.concat(
             F.url_decode(F.substring_index(x, "\n", 1)),
             F.lit("\n"),
@@ -139,7 +151,7 @@ def read_back(windows: DataFrame, conv_col: str = "conv_id") -> DataFrame:
         ),
     )
     targets = F.array_join(F.transform("targets", lambda s: restored(F.col("text").substr(s["start"] + 1, s["end"] - s["start"]))), "")
-    parts = windows.select(F.col(conv_col).alias("conv"), "window", F.length("text").cast("long").alias("chars"), F.size(turns).cast("long").alias("n"), F.array_join(turns, "").alias("turns"), targets.alias("loss"))
+    parts = windows.select(F.col(conv_col).alias("conv"), "window", F.length("text").cast("long").alias("chars"), F.greatest(F.size("pieces of text") - 1 - F.col("n_repeated"), F.lit(0)).cast("long").alias("n"), F.array_join(turns, "").alias("turns"), targets.alias("loss"))
     whole = parts.groupBy("conv").agg(
         F.sum("n").alias("n_turns"),
         F.sum("chars").alias("formatted_chars"),
