@@ -112,12 +112,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def classes(marked: DataFrame, id_col: str) -> DataFrame:
-    """Add ``component_id`` to rows (id, bits)."""
+    """Add ``component`` (its least fingerprint) and ``component_id`` (its least id) to rows (id, bits)."""
     folded = settle(marked.groupBy("bits").agg(F.min(id_col).alias("least_id")))
     linked = components(near_pairs(folded.select("bits"))).select(F.col("node").alias("bits"), "component")
     placed = folded.join(linked, "bits", "left").select("bits", "least_id", F.coalesce("component", "bits").alias("component"))
     named = placed.groupBy("component").agg(F.min("least_id").alias("component_id"))
-    return marked.join(placed.join(named, "component").select("bits", "component_id"), "bits")
+    return marked.join(placed.join(named, "component").select("bits", "component", "component_id"), "bits")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -128,7 +128,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """
     held = settle(fingerprints(docs, id_col, text_col))
     named = classes(held, id_col)
-    first = settle(named.groupBy("component_id").agg(F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), "bits")).alias("chosen")))
+    first = settle(named.groupBy("component").agg(F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), "bits")).alias("chosen")))
     if not held.groupBy(id_col).agg(F.count("*").alias("n")).where("n > 1").limit(1).count():
         wanted = first.select(F.col("chosen.id").alias("chosen_id"))
         return docs.join(wanted, docs[id_col].eqNullSafe(wanted["chosen_id"]), "left_semi")
