@@ -44,24 +44,23 @@ def channel_segments(spark, lines: list[tuple[str, list[tuple[float, float]]]])
     return spark.createDataFrame(rows, "channel_id string, segment int, lon0 double, lat0 double, lon1 double, lat1 double")
 
 
-def to_segment(lon: Column, lat: Column, samples: int = 20) -> Column:
-    """Least metres to evenly spaced points of a segment, its ends included."""
-    return F.array_min(
-        F.transform(
-            F.sequence(F.lit(0), F.lit(samples)),
-            lambda k: haversine(lat, lon, F.col("lat0") + k / F.lit(float(samples)) * (F.col("lat1") - F.col("lat0")), F.col("lon0") + k / F.lit(float(samples)) * (F.col("lon1") - F.col("lon0"))),
-        )
-    )
+def channel_samples(segments: DataFrame, samples: int = 20) -> DataFrame:
+    """Evenly spaced points of each segment, its ends included: (channel_id, c_lon, c_lat)."""
+    share = F.col("k") / F.lit(float(samples))
+    spread = segments.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(samples))))
+    return spread.select("channel_id", (F.col("lon0") + share * (F.col("lon1") - F.col("lon0"))).alias("c_lon"), (F.col("lat0") + share * (F.col("lat1") - F.col("lat0"))).alias("c_lat"))
 
 
-def channel_distances(points: DataFrame, segments: DataFrame, key: str, largest: int = 100_000) -> DataFrame:
-    """(key, channel_id, metres): least distance of each point to each channel.
+def channel_distances(points: DataFrame, segments: DataFrame, key: str, largest: int = 20_000) -> DataFrame:
+    """(key, channel_id, metres): least distance of each point to the samples of each channel.
 
-    Segments are a small table of a port; they are broadcast if there are at most
-    ``largest``, and joined without a hint beyond.
+    The samples of a port's channels are few; they are broadcast if the segments
+    are at most ``largest``, and left to the planner beyond. Each point is compared
+    in generated code and folded at once, before anything is shuffled.
     """
-    side = F.broadcast(segments) if segments.limit(largest + 1).count() <= largest else segments
-    near = points.join(side).select(key, "channel_id", to_segment(F.col("lon"), F.col("lat")).alias("metres"))
+    samples = channel_samples(segments)
+    side = F.broadcast(samples) if segments.limit(largest + 1).count() <= largest else samples
+    near = points.join(side).select(key, "channel_id", haversine(F.col("lat"), F.col("lon"), F.col("c_lat"), F.col("c_lon")).alias("metres"))
     return near.groupBy(key, "channel_id").agg(F.min("metres").alias("metres"))
 
 
