@@ -40,8 +40,10 @@ RAW = frozenset("script style textarea title".split())
 CONTAINERS = frozenset("article blockquote body center div main section table tbody td tr".split())
 FRAME_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog menu menubar navigation search toolbar".split())
 FRAME_WORDS = frozenset(
-    "ad ads adsense advert advertisement advertising adverts alert author-box banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus dock footer gdpr masthead menu modal nav navbar navigation newsletter notice notification overlay pager pagination paywall popup promo promotion recommended related replies reply respond share sharing sidebar signup skip social sponsor sponsored subscribe toolbar topbar widget".split()
+    "ad adbox ads adsense adslot advert advertisement advertising adverts breadcrumb breadcrumbs comment commentlist comments consent cookie cookiebanner cookiebar cookies disqus footer gdpr newsletter pager pagination paywall promo promotion recommended related replies reply respond signup sponsor sponsored subscribe".split()
 )
+#: Words that also name the layout of a whole page, as in "with-sidebar".
+LAYOUT_WORDS = frozenset("alert banner dock dropdown mainmenu mainnav masthead menu modal nav navbar navigation notice notification overlay popup share sharing sidebar sidenav skip social submenu subnav toolbar topbar topnav widget".split())
 HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 CLOSES_P = BLOCK - frozenset("body caption dd dt html li optgroup option tbody td tfoot th thead tr".split())
 SAME_LEVEL = {"li": ("li", ("ul", "ol", "menu", "dir")), "dt": ("dt dd", ("dl",)), "dd": ("dt dd", ("dl",)), "tr": ("tr td th", ("table",)), "td": ("td th", ("tr", "table")), "th": ("td th", ("tr", "table")), "option": ("option", ("select",)), "tbody": ("tbody thead tfoot tr td th", ("table",)), "thead": ("tbody thead tfoot tr td th", ("table",)), "tfoot": ("tbody thead tfoot tr td th", ("table",))}
@@ -59,10 +61,25 @@ class Page:
     """Elements of a page as flat lists, in page order, and its pieces of text."""
 
     def __init__(self, source: str):
-        self.tags, self.parents, self.marks, self.skips, self.ends = [], [], [], [], []
+        self.tags, self.parents, self.marks, self.skips, self.ends, self.layout = [], [], [], [], [], []
         self.texts: list[tuple[int, str]] = []  # (element, text); a text of None is a break between blocks
         self.begins: list[int] = []
         self._parse(source)
+        self._frame()
+
+    def _frame(self) -> None:
+        """What stands in a frame is skipped. A layout word counts unless the element holds most of the text."""
+        held = [0] * len(self.tags)
+        hard = list(self.skips)
+        for k, p in enumerate(self.parents):
+            hard[k] = hard[k] or (p >= 0 and hard[p])
+        for node, piece in self.texts:
+            if piece is not None and not hard[node]:
+                held[node] += len(piece) - piece.count(" ")
+        for k in range(len(self.tags) - 1, 0, -1):
+            held[self.parents[k]] += held[k]
+        for k, p in enumerate(self.parents):
+            self.skips[k] = self.skips[k] or (self.layout[k] and 10 * held[k] < 6 * held[0]) or (p >= 0 and self.skips[p])
 
     def _open(self, tag: str, parent: int, attributes: str) -> int:
         found = {k.lower(): a or b or c for k, a, b, c in _attribute.findall(attributes)} if "=" in attributes else {}
@@ -76,7 +93,8 @@ class Page:
         gone = tag in UNSEEN or (attributes and _hidden.search(attributes)) or found.get("aria-hidden", "").lower() == "true"
         if tag == "article" and words & {"comment", "comments", "reply", "replies", "related", "recommended", "promo", "sponsored"}:
             framed = True
-        self.skips.append(bool(framed or gone or (parent >= 0 and self.skips[parent])))
+        self.skips.append(bool(framed or gone))
+        self.layout.append(bool(words & LAYOUT_WORDS and tag not in ("html", "body", "article", "main")))
         self.begins.append(len(self.texts))
         self.ends.append(-1)
         return len(self.tags) - 1
@@ -172,8 +190,6 @@ class Page:
                 at = n if close < 0 else close + 1
                 self.ends[node] = len(self.texts)
                 continue
-            if tag == "body" and self.tags.count("body") > 1:
-                self.skips[node] = self.skips[self.parents[node]]
             stack.append(node)
         shut(0)
 

@@ -449,3 +449,17 @@ def test_broken_and_deep_pages():
     assert html_extract.main_text("<div>" * 3000 + "deep" + '<a href="x', None) == "deep"
     assert html_extract.main_text('<p title="a > b">x</p><p>"y', None) == 'x\n"y'
     html_extract.main_text("<a b='" * 2000, None)
+
+
+LAYOUTS = [
+    '<div class="page with-sidebar"><div class="menu"><a href=1>Home</a></div><div class="content"><h1>T</h1><p>{p}</p></div><div class="sidebar"><p>Look here</p></div></div>',
+    '<table><tr><td class="nav"><a href=1>Home</a><td class="main"><h1>T</h1><p>{p}</table><div class="copyright footer">all mine</div>',
+    '<div id="masthead">Site</div><main><article class="post"><header><h1>T</h1></header><div class="entry"><p>{p}</p><div class="share-bar">Share</div></div><footer>tags</footer></article><ol class="commentlist"><li>{p}</li></ol></main>',
+    '<header><h1>Site name</h1></header><section class="body"><h1>T</h1><p>{p}</p></section><div role="complementary"><p>more</p></div><div hidden><p>secret</p></div><div class="cookie-notice"><p>We use cookies</p></div>',
+]
+
+
+@pytest.mark.parametrize("layout", LAYOUTS)
+def test_layouts(layout):
+    words = "It was a long and quiet day at the river. " * 5
+    assert html_extract.main_text(f"<html><body>{layout.replace('{p}', words)}</body></html>", None) == "T\n" + words.strip()
