@@ -110,38 +110,49 @@ class BerthFold:
     From an anchor the stretch runs on while positions are nearer than ``metres`` to
     the anchor and no speed in it reaches ``knots`` (a missing speed counts as slow).
     If it spans more than ``seconds`` all of it is marked and the next row is the new
-    anchor; otherwise the row after the anchor is. Only rows from the anchor on wait.
+    anchor; otherwise the row after the anchor is. As soon as a stretch is long
+    enough its rows are answered, so only rows of the last ``seconds`` ever wait.
     """
 
     def __init__(self, rules: Berth, radius: float):
         self.rules, self.radius = rules, radius
-        self.rows: list[tuple] = []
+        self.rows: list[tuple] = []  # from the anchor on, or after a stretch that is long enough
         self.checked = 1  # rows from the anchor on that are known to belong together
+        self.berth: tuple | None = None  # the anchor of a stretch that is long enough
 
-    def _fits(self, k: int) -> bool:
-        _, lon, lat, sog = self.rows[k]
-        _, lon0, lat0, sog0 = self.rows[0]
+    def _fits(self, anchor: tuple, row: tuple) -> bool:
+        _, lon, lat, sog = row
+        _, lon0, lat0, sog0 = anchor
         fast = (sog is not None and sog >= self.rules.knots) or (sog0 is not None and sog0 >= self.rules.knots)
         return not fast and haversine_number(lat0, lon0, lat, lon, self.radius) < self.rules.metres
 
-    def _settle(self) -> list[bool]:
-        """The stretch from the anchor has ended: answer for it, or for the anchor alone."""
-        if self.rows[self.checked - 1][0] - self.rows[0][0] > self.rules.seconds:
-            out = [True] * self.checked
-        else:
-            out = [False]
-        del self.rows[: len(out)]
-        self.checked = 1
-        return out
-
     def _advance(self, closing: bool) -> list[bool]:
         out: list[bool] = []
-        while self.rows:
-            while self.checked < len(self.rows) and self._fits(self.checked):
+        rows = self.rows
+        while rows:
+            if self.berth is not None:
+                k = 0
+                while k < len(rows) and self._fits(self.berth, rows[k]):
+                    k += 1
+                out += [True] * k
+                del rows[:k]
+                if rows:
+                    self.berth, self.checked = None, 1
+                continue
+            long = False
+            while self.checked < len(rows) and not long and self._fits(rows[0], rows[self.checked]):
                 self.checked += 1
-            if self.checked == len(self.rows) and not closing:
-                return out
-            out += self._settle()
+                long = rows[self.checked - 1][0] - rows[0][0] > self.rules.seconds
+            if long:
+                self.berth = rows[0]
+                out += [True] * self.checked
+                del rows[: self.checked]
+            elif self.checked == len(rows) and not closing:
+                break
+            else:
+                out.append(False)
+                del rows[0]
+                self.checked = 1
         return out
 
     def push(self, row: tuple) -> list[bool]:
