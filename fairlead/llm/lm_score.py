@@ -4,9 +4,12 @@ A small network reads the words on both sides of a place and predicts the word
 there. The sum over all places of the conditional log-probabilities is the
 document's pseudo-log-likelihood.
 
-Words are lower-cased runs between white space. The vocabulary holds the most
-frequent words of the whole corpus (counted in Spark); all others fall into
-classes by length and kind, so every word has a probability.
+Words are lower-cased runs between white space. The network predicts a class: each
+of the most frequent words is a class of its own, all others fall into classes by
+length and kind. A word's probability is that of its class at the place, times its
+share of the class by the counts of the whole corpus, one occurrence of each class
+being kept for words never counted. Tasks hold the counts of the more frequent
+words; those of all others are joined in Spark, so no word goes without its own.
 
 Training runs over every document, without a sample. In each round every
 partition starts from the same weights, hides the places whose hash falls in one
@@ -32,6 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.components import settle
 from .textkit import arrow_map, blocks, keyed, mix, utf8
 
 CLASSES = 16
@@ -39,11 +43,12 @@ CLASSES = 16
 
 @dataclass(frozen=True)
 class LmRules:
-    """words: vocabulary; sides: words seen on each side; hidden: width; mask: one place in so many is hidden in a
+    """words: classes of one word; table: most words whose counts each task holds; sides: words seen on each side; hidden: width; mask: one place in so many is hidden in a
     round; rounds: over all documents; batch: places in a step; rate: of Adam; entries: words that a task counts
     before it hands them on."""
 
     words: int = 240
+    table: int = 100_000
     sides: int = 2
     hidden: int = 24
     mask: int = 8
@@ -80,6 +85,55 @@ def frequencies(docs: DataFrame, text_col: str, rules: LmRules) -> DataFrame:
     return keyed(docs, text_col).mapInArrow(run, schema).groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def kind(word: str = "word"):
+    """``word_class`` as an expression on a column of words."""
+    text = F.col(word).cast("string")
+    return F.when(text.rlike(r"^[\x00-\x7F]*\z") & ~text.rlike(r"^[A-Za-z]+\z"), 8).otherwise(0) + F.least(F.lit(7), F.floor(F.octet_length(word) / 2)).cast("int")
+
+
+@dataclass(frozen=True)
+class Words:
+    """words: the table held by tasks, the classes of one word first; n_own: how many these are; outputs, shares: class
+    and log-share of its class of each word in the table; totals: occurrences in each class; rare: (word, n) of others."""
+
+    words: list[bytes]
+    n_own: int
+    outputs: np.ndarray
+    shares: np.ndarray
+    totals: np.ndarray
+    rare: DataFrame
+
+    @property
+    def size(self) -> int:
+        return self.n_own + CLASSES
+
+
+def count_words(docs: DataFrame, text_col: str, rules: LmRules) -> Words:
+    """The counts of the whole corpus. The driver gets at most ``table`` words and a row for each different count."""
+    counts = settle(frequencies(docs, text_col, rules))
+    top = counts.orderBy(F.desc("n"), "word").limit(rules.words).collect()
+    least, held = None, 0
+    for n, words in sorted(counts.groupBy("n").count().collect(), reverse=True):
+        if held + words > rules.table:
+            break
+        least, held = n, held + words
+    own = [bytes(r["word"]) for r in top]
+    known = set(own)
+    more = counts.where(F.col("n") >= least).collect() if least is not None else []
+    others = sorted((-r["n"], w) for r in more if (w := bytes(r["word"])) not in known)
+    kinds = np.zeros(CLASSES)
+    for k, n in counts.groupBy(kind().alias("kind")).agg(F.sum("n")).collect():
+        kinds[k] = n
+    for r in top:
+        kinds[word_class(bytes(r["word"]))] -= r["n"]
+    classes = np.array([word_class(w) for _, w in others], np.int64)
+    shares = np.concatenate([np.zeros(len(own)), np.log(np.array([-n for n, _ in others], float) / (kinds[classes] + 1))])
+    outputs = np.concatenate([np.arange(len(own)), len(own) + classes]).astype(np.int32)
+    totals = np.concatenate([np.array([r["n"] for r in top], float), kinds])
+    rare = counts if least is None else counts.where(F.col("n") < least)
+    return Words(own + [w for _, w in others], len(own), outputs, shares, totals, rare)
+
+
 class Network:
     """Weights and passes. Words are numbers; one more stands for what lies beyond a document's ends."""
 
@@ -162,35 +216,50 @@ class Network:
                 self.weights[name] -= (size * first / (np.sqrt(second) + 1e-8)).astype(np.float32)
 
 
-def coded(texts: list[bytes], vocabulary: dict[bytes, int], rules: LmRules) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Numbers of all words with ends around each document, places of the words, words in each document."""
-    first, end = len(vocabulary), len(vocabulary) + CLASSES
-    gap = [end] * rules.sides
-    codes, sizes = list(gap), []
-    get = vocabulary.get
-    for text in texts:
-        words = text.lower().split()
-        sizes.append(len(words))
-        codes += [k if (k := get(w)) is not None else first + word_class(w) for w in words]
-        codes += gap
-    numbers = np.array(codes, np.int32)
-    return numbers, np.flatnonzero(numbers != end), np.array(sizes, np.int64)
-
-
-def train(docs: DataFrame, text_col: str, rules: LmRules) -> tuple[list[bytes], np.ndarray]:
-    """Vocabulary and weights."""
-    top = frequencies(docs, text_col, rules).orderBy(F.desc("n"), "word").limit(rules.words).collect()
-    words = [bytes(r["word"]) for r in top]
-    size = len(words) + CLASSES
-    common = np.array([r["n"] for r in top], float)
-    bias = np.log(np.concatenate([common, np.full(CLASSES, common.sum() / CLASSES if len(common) else 1.0)]) + 1)
+@dataclass(frozen=True)
+class Lookup:
+    """What tasks hold of the words."""
+
+    numbers: dict[bytes, int]
+    n_own: int
+    outputs: np.ndarray
+    shares: np.ndarray
+
+    def found(self, texts: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+        """All words, their numbers in the table (-1: not there), words in each document."""
+        words: list[bytes] = []
+        sizes = []
+        for text in texts:
+            own = text.lower().split()
+            sizes.append(len(own))
+            words += own
+        get = self.numbers.get
+        return words, np.array([get(w, -1) for w in words], np.int64), np.array(sizes, np.int64)
+
+
+def coded(words: list[bytes], numbers: np.ndarray, sizes: np.ndarray, known: Lookup, rules: LmRules) -> tuple[np.ndarray, np.ndarray]:
+    """Classes of all words with ends around each document, and places of the words."""
+    classes = np.append(known.outputs, 0)[numbers].astype(np.int32)
+    away = np.flatnonzero(numbers < 0)
+    classes[away] = [known.n_own + word_class(words[k]) for k in away.tolist()]
+    places = np.arange(len(words)) + rules.sides * (1 + np.repeat(np.arange(len(sizes)), sizes))
+    codes = np.full(len(words) + rules.sides * (1 + len(sizes)), known.n_own + CLASSES, np.int32)
+    codes[places] = classes
+    return codes, places
+
+
+def train(docs: DataFrame, text_col: str, rules: LmRules, counted: Words | None = None) -> tuple[list[bytes], np.ndarray]:
+    """Words in the table and weights."""
+    counted = counted or count_words(docs, text_col, rules)
+    size = counted.size
+    bias = np.log(counted.totals + 1)
     weights = Network(size, rules, bias - bias.mean()).flat()
     texts = keyed(docs, text_col)
     schema = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("w", T.ArrayType(T.FloatType())), T.StructField("n", T.LongType())])
-    vocabulary = {w: k for k, w in enumerate(words)}
+    held = lookup(counted)
     width = 1024
     for turn in range(rules.rounds):
-        shared = docs.sparkSession.sparkContext.broadcast((vocabulary, weights))  # a few hundred words, some 10**4 numbers
+        shared = docs.sparkSession.sparkContext.broadcast((held, weights))  # at most ``table`` words, some 10**4 numbers
 
         def run(batches: Iterator[pa.RecordBatch], turn: int = turn, shared=shared) -> Iterator[pa.RecordBatch]:
             known, start = shared.value
@@ -198,7 +267,8 @@ def train(docs: DataFrame, text_col: str, rules: LmRules) -> tuple[list[bytes],
             for batch in batches:
                 rows = utf8(batch.column(0))
                 for a, b in blocks(rows):
-                    codes, places, _ = coded(rows[a:b], known, rules)
+                    words, numbers, sizes = known.found(rows[a:b])
+                    codes, places = coded(words, numbers, sizes, known, rules)
                     with np.errstate(over="ignore"):
                         draw = mix(places.astype(np.uint64) * np.uint64(31) + codes[places].astype(np.uint64) + np.uint64(n)) % np.uint64(rules.mask)
                     hidden = places[draw == turn % rules.mask]
@@ -215,29 +285,44 @@ def train(docs: DataFrame, text_col: str, rules: LmRules) -> tuple[list[bytes],
             fresh = np.empty_like(weights)
             fresh[mean["part"].to_numpy().astype(np.int64) * width + mean["at"].to_numpy()] = mean["w"].to_numpy()
             weights = fresh
-    return words, weights
+    return counted.words, weights
+
+
+def lookup(counted: Words) -> Lookup:
+    return Lookup({w: k for k, w in enumerate(counted.words)}, counted.n_own, counted.outputs, counted.shares)
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: LmRules = LmRules()) -> DataFrame:
     """(id, n_tokens, log_prob, mean_log_prob): the pseudo-log-likelihood of each text, and for each of its words."""
-    words, weights = train(docs, text_col, rules)
+    counted = count_words(docs, text_col, rules)
+    _, weights = train(docs, text_col, rules, counted)
     chosen = keyed(docs, id_col, text_col)
-    shared = docs.sparkSession.sparkContext.broadcast(({w: k for k, w in enumerate(words)}, weights))
-    schema = T.StructType([chosen.schema[id_col], T.StructField("n_tokens", T.LongType()), T.StructField("log_prob", T.DoubleType()), T.StructField("mean_log_prob", T.DoubleType())])
+    shared = docs.sparkSession.sparkContext.broadcast((lookup(counted), weights))
+    schema = T.StructType([T.StructField("id", chosen.schema[id_col].dataType), T.StructField("n_tokens", T.LongType()), T.StructField("held", T.DoubleType()), T.StructField("away", T.ArrayType(T.BinaryType()))])
+    size = counted.size
     held: dict = {}
 
     def rows(batch: pa.RecordBatch):
         known, values = shared.value
         if "network" not in held:
-            held["network"] = Network(len(known) + CLASSES, rules).load(values)
+            held["network"] = Network(size, rules).load(values)
         texts = utf8(batch.column(1))
         for a, b in blocks(texts):
-            codes, places, sizes = coded(texts[a:b], known, rules)
+            words, numbers, sizes = known.found(texts[a:b])
+            codes, places = coded(words, numbers, sizes, known, rules)
             sums = np.zeros(len(places) + 1)
-            np.cumsum(held["network"].log_probabilities(codes, places), dtype=np.float64, out=sums[1:])
+            np.cumsum(held["network"].log_probabilities(codes, places) + np.append(known.shares, 0.0)[numbers], out=sums[1:])
             ends = np.cumsum(sizes)
-            total = (sums[ends] - sums[ends - sizes]).round(6)
-            mean = [t / n if n else 0.0 for t, n in zip(total.tolist(), sizes.tolist())]
-            yield [batch.column(0).slice(a, b - a), sizes.tolist(), total.tolist(), mean]
-
-    return arrow_map(chosen, schema, rows)
+            away = np.flatnonzero(numbers < 0)
+            cuts = np.searchsorted(away, np.append(0, ends))
+            lists = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array([words[k] for k in away.tolist()], pa.binary()))
+            yield [batch.column(0).slice(a, b - a), sizes.tolist(), sums[ends] - sums[ends - sizes], lists]
+
+    scored = settle(arrow_map(chosen, schema, rows).withColumn("row", F.monotonically_increasing_id()))
+    away = scored.select("row", F.explode("away").alias("word")).join(counted.rare, "word", "left")
+    totals = F.array(*[F.lit(float(t + 1)) for t in counted.totals[counted.n_own :]])
+    share = F.log(F.coalesce("n", F.lit(1)) / F.element_at(totals, kind() + 1))
+    rest = away.groupBy("row").agg(F.sum(F.round(share * 1e9).cast("long")).alias("rest"))  # whole numbers add up alike in any order
+    total = F.round(F.col("held") + F.coalesce("rest", F.lit(0)) / 1e9, 6)
+    whole = scored.drop("away").join(rest, "row", "left").select(F.col("id").alias(id_col), "n_tokens", total.alias("log_prob"))
+    return whole.withColumn("mean_log_prob", F.when(F.col("n_tokens") > 0, F.col("log_prob") / F.col("n_tokens")).otherwise(0.0))

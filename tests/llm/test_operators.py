@@ -402,6 +402,22 @@ def test_lm_scores_beat_word_counts(spark, docs):
     assert sum(counts.values()) == pytest.approx(n, rel=1e-3) and total > unigram
 
 
+def test_lm_uncommon_words_count(spark):
+    common = " ".join(f"w{k}" for k in range(6))
+    rows = [(k, f"{common} harbour {common} harbour") for k in range(30)] + [(100, f"{common} harbour {common} harbour"), (101, f"{common} xqzvkpj {common} xqzvkpj"), (102, "Ünder 12 a-b été")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    rules = lm_score.LmRules(words=6, rounds=0)
+    got = {}
+    for table in (1000, 7, 0):  # counts held by tasks, or joined
+        got[table] = {r["doc_id"]: r["log_prob"] for r in lm_score.score(frame, rules=lm_score.LmRules(words=6, rounds=0, table=table)).collect()}
+        assert got[table][100] - got[table][101] == pytest.approx(2 * np.log(62 / 2), abs=1e-4)
+        assert all(v == pytest.approx(got[1000][k], abs=1e-4) for k, v in got[table].items())
+    counted = lm_score.count_words(frame, "text", rules)
+    assert set(counted.words) == {w for _, t in rows for w in t.encode().lower().split()}
+    for r in lm_score.frequencies(frame, "text", rules).select("word", lm_score.kind().alias("kind")).collect():
+        assert r["kind"] == lm_score.word_class(bytes(r["word"]))
+
+
 # Licences
 
 
