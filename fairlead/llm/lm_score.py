@@ -11,11 +11,12 @@ share of the class by the counts of the whole corpus, one occurrence of each cla
 being kept for words never counted. Tasks hold the counts of the more frequent
 words; those of all others are joined in Spark, so no word goes without its own.
 
-Training runs over every document, without a sample. In each round every
-partition starts from the same weights, hides the places whose hash falls in one
-of ``mask`` classes, and trains on them by Adam in numpy; Spark then averages the
-weights of all partitions, weighted by their hidden places. Only averaged weights
-reach the driver, whose size does not depend on the corpus.
+Training predicts every place of every document once, without a sample. A hash
+deals the places to ``rounds``; in each round every partition starts from the same
+weights, hides the places of the round one batch after another, and trains on them
+by Adam in numpy; Spark then averages the weights of all partitions, weighted by
+their hidden places. Only averaged weights reach the driver, whose size does not
+depend on the corpus.
 
 Defined results: a null text and one without words have no tokens and score 0;
 repeated rows score alike; a null id is carried through; an empty table gives an
@@ -43,15 +44,14 @@ CLASSES = 16
 
 @dataclass(frozen=True)
 class LmRules:
-    """words: classes of one word; table: most words whose counts each task holds; sides: words seen on each side; hidden: width; mask: one place in so many is hidden in a
-    round; rounds: over all documents; batch: places in a step; rate: of Adam; entries: words that a task counts
+    """words: classes of one word; table: most words whose counts each task holds; sides: words seen on each side; hidden: width;
+    rounds: over all documents, each hiding its share of the places; batch: places in a step; rate: of Adam; entries: words that a task counts
     before it hands them on."""
 
     words: int = 240
     table: int = 100_000
     sides: int = 2
     hidden: int = 24
-    mask: int = 8
     rounds: int = 2
     batch: int = 512
     rate: float = 0.005
@@ -138,7 +138,7 @@ class Network:
     """Weights and passes. Words are numbers; one more stands for what lies beyond a document's ends."""
 
     def __init__(self, size: int, rules: LmRules, bias: np.ndarray | None = None):
-        self.size, self.rules = size, rules
+        self.size, self.rules, self.room = size, rules, None
         draw = np.random.default_rng(11)
         self.weights = {
             "place": (draw.standard_normal((2 * rules.sides, size + 1, rules.hidden)) * 0.3).astype(np.float32),
@@ -163,44 +163,51 @@ class Network:
         return np.stack([codes[places + d] for d in offsets])
 
     def inner(self, near: np.ndarray) -> np.ndarray:
-        total = self.weights["inner"] + self.weights["place"][0][near[0]]
+        total = self.weights["place"][0].take(near[0], axis=0)
         for k in range(1, len(near)):
-            total += self.weights["place"][k][near[k]]
+            total += self.weights["place"][k].take(near[k], axis=0)
+        total += self.weights["inner"]
         return np.tanh(total, out=total)
 
-    def log_probabilities(self, codes: np.ndarray, places: np.ndarray, step: int = 4096) -> np.ndarray:
+    def shares(self, hidden: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Exponentials of the outputs (until the next call) and their sum in each row. Lowered by the highest only where they could overflow."""
+        if self.room is None or self.room.dtype != hidden.dtype or len(self.room) < len(hidden):
+            self.room = np.empty((max(512, len(hidden)), self.size), hidden.dtype)
+        logits = np.matmul(hidden, self.weights["out"], out=self.room[: len(hidden)])
+        logits += self.weights["bias"]
+        if (np.abs(self.weights["out"]).sum(axis=0) + np.abs(self.weights["bias"])).max(initial=0) > 60:
+            logits -= logits.max(axis=1, keepdims=True)
+        np.exp(logits, out=logits)
+        return logits, logits @ np.ones(self.size, logits.dtype)
+
+    def log_probabilities(self, codes: np.ndarray, places: np.ndarray, step: int = 512) -> np.ndarray:
         """Log-probability of the word at each place, given those around it."""
         out = np.empty(len(places), np.float32)
         for a in range(0, len(places), step):
             own = places[a : a + step]
-            logits = self.inner(self.around(codes, own)) @ self.weights["out"]
-            logits += self.weights["bias"]
-            chosen = logits[np.arange(len(own)), codes[own]]
-            peak = logits.max(axis=1)
-            logits -= peak[:, None]
-            np.exp(logits, out=logits)
-            out[a : a + step] = chosen - peak - np.log(logits.sum(axis=1))
+            share, total = self.shares(self.inner(self.around(codes, own)))
+            out[a : a + step] = np.log(np.maximum(share[np.arange(len(own)), codes[own]], 1e-37) / total)
         return out
 
     def gradients(self, codes: np.ndarray, places: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """Mean loss at some places and its gradient."""
         near, target = self.around(codes, places), codes[places]
         hidden = self.inner(near)
-        logits = hidden @ self.weights["out"] + self.weights["bias"]
-        logits -= logits.max(axis=1, keepdims=True)
-        share = np.exp(logits)
-        share /= share.sum(axis=1, keepdims=True)
+        share, total = self.shares(hidden)
         rows = np.arange(len(places))
-        loss = float(-np.log(np.maximum(share[rows, target], 1e-30)).mean())
-        share[rows, target] -= 1
-        share /= len(places)
-        back = (share @ self.weights["out"].T) * (1 - hidden * hidden)
+        loss = float(-np.log(np.maximum(share[rows, target] / total, 1e-30)).mean())
+        share[rows, target] -= total
+        scale = (1 / (total * len(places)))[:, None]
+        back = (share @ self.weights["out"].T) * ((1 - hidden * hidden) * scale)
         place = np.zeros_like(self.weights["place"])
-        for k in range(len(near)):
-            hot = np.zeros((self.size + 1, len(places)), np.float32)
-            hot[near[k], rows] = 1
-            place[k] = hot @ back
-        return loss, {"place": place, "inner": back.sum(axis=0), "out": hidden.T @ share, "bias": share.sum(axis=0)}
+        at = (near + (np.arange(len(near)) * (self.size + 1))[:, None]).ravel().astype(np.int16 if place[..., 0].size < 1 << 15 else np.int64)
+        order = np.argsort(at, kind="stable")
+        at = at.take(order)
+        first = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
+        spread = back.take(order % len(places), axis=0)
+        sums = np.add.reduceat(spread, first, axis=0)
+        place.reshape(-1, place.shape[2])[at[first].astype(np.int64)] = sums
+        return loss, {"place": place, "inner": back.sum(axis=0), "out": (hidden * scale).T @ share, "bias": scale[:, 0] @ share}
 
     def fit(self, codes: np.ndarray, places: np.ndarray, state: dict) -> None:
         """Adam over the places, in order. state: moments and steps, kept between calls."""
@@ -208,12 +215,27 @@ class Network:
         for a in range(0, len(places), rules.batch):
             _, slopes = self.gradients(codes, places[a : a + rules.batch])
             state["step"] = state.get("step", 0) + 1
-            size = rules.rate * np.sqrt(1 - 0.999 ** state["step"]) / (1 - 0.9 ** state["step"])
+            size = rules.rate * (1 - 0.999 ** state["step"]) ** 0.5 / (1 - 0.9 ** state["step"])
             for name, slope in slopes.items():
                 first, second = state.setdefault(name, (np.zeros_like(slope), np.zeros_like(slope)))
-                first += 0.1 * (slope - first)
-                second += 0.001 * (slope * slope - second)
-                self.weights[name] -= (size * first / (np.sqrt(second) + 1e-8)).astype(np.float32)
+                first *= 0.9
+                first += 0.1 * slope
+                second *= 0.999
+                slope *= slope
+                slope *= 0.001
+                second += slope
+                root = np.sqrt(second)
+                root += 1e-8
+                np.divide(first, root, out=root)
+                root *= size
+                self.weights[name] -= root
+
+
+def round_of(codes: np.ndarray, places: np.ndarray, sizes: np.ndarray, rounds: int) -> np.ndarray:
+    """The round that hides each place, by its place in its document and the word class: the same in every pass."""
+    inside = np.arange(len(places)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    with np.errstate(over="ignore"):
+        return mix(inside.astype(np.uint64) * np.uint64(4099) + codes[places].astype(np.uint64)) % np.uint64(rounds)
 
 
 @dataclass(frozen=True)
@@ -248,6 +270,19 @@ def coded(words: list[bytes], numbers: np.ndarray, sizes: np.ndarray, known: Loo
     return codes, places
 
 
+def train_part(parts: Iterator[list[bytes]], turn: int, known: Lookup, network: Network) -> tuple[np.ndarray, int]:
+    """Weights after the places that a round hides in the documents of a partition, and how many these are."""
+    state, n = {}, 0
+    for texts in parts:
+        for a, b in blocks(texts):
+            words, numbers, sizes = known.found(texts[a:b])
+            codes, places = coded(words, numbers, sizes, known, network.rules)
+            hidden = places[round_of(codes, places, sizes, network.rules.rounds) == turn]
+            network.fit(codes, hidden, state)
+            n += len(hidden)
+    return network.flat(), n
+
+
 def train(docs: DataFrame, text_col: str, rules: LmRules, counted: Words | None = None) -> tuple[list[bytes], np.ndarray]:
     """Words in the table and weights."""
     counted = counted or count_words(docs, text_col, rules)
@@ -263,19 +298,8 @@ def train(docs: DataFrame, text_col: str, rules: LmRules, counted: Words | None
 
         def run(batches: Iterator[pa.RecordBatch], turn: int = turn, shared=shared) -> Iterator[pa.RecordBatch]:
             known, start = shared.value
-            network, state, n = Network(size, rules).load(start), {}, 0
-            for batch in batches:
-                rows = utf8(batch.column(0))
-                for a, b in blocks(rows):
-                    words, numbers, sizes = known.found(rows[a:b])
-                    codes, places = coded(words, numbers, sizes, known, rules)
-                    with np.errstate(over="ignore"):
-                        draw = mix(places.astype(np.uint64) * np.uint64(31) + codes[places].astype(np.uint64) + np.uint64(n)) % np.uint64(rules.mask)
-                    hidden = places[draw == turn % rules.mask]
-                    network.fit(codes, hidden, state)
-                    n += len(hidden)
+            flat, n = train_part((utf8(batch.column(0)) for batch in batches), turn, known, Network(size, rules).load(start))
             if n:
-                flat = network.flat()
                 pieces = [flat[a : a + width] for a in range(0, len(flat), width)]
                 yield pa.RecordBatch.from_arrays([pa.array(range(len(pieces)), pa.int32()), pa.array([p.tolist() for p in pieces], pa.list_(pa.float32())), pa.array([n] * len(pieces), pa.int64())], names=schema.names)
 

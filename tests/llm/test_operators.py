@@ -418,6 +418,21 @@ def test_lm_uncommon_words_count(spark):
         assert r["kind"] == lm_score.word_class(bytes(r["word"]))
 
 
+@pytest.mark.parametrize("rounds", [1, 2, 5])
+def test_lm_trains_on_every_place_once(texts, monkeypatch, rounds):
+    parts = [[(t or "").encode() for t in list(texts.values())[a : a + 20]] for a in (0, 20, 40)]
+    n = sum(len(t.split()) for part in parts for t in part)
+    known = lm_score.Lookup({b"the": 0}, 1, np.zeros(1, np.int32), np.zeros(1))
+    seen = Counter()
+
+    def noted(self, codes, places, state):
+        seen.update((hash(codes.tobytes()), p) for p in places.tolist())
+
+    monkeypatch.setattr(lm_score.Network, "fit", noted)
+    counts = [lm_score.train_part(iter(parts), turn, known, lm_score.Network(1 + lm_score.CLASSES, lm_score.LmRules(rounds=rounds)))[1] for turn in range(rounds)]
+    assert sum(counts) == len(seen) == n and set(seen.values()) == {1} and min(counts) > 0
+
+
 # Licences
 
 
