@@ -36,6 +36,7 @@ BLOCK = frozenset(
 )
 UNSEEN = frozenset("audio button canvas datalist dialog embed head iframe input map math menu meter nav noscript object picture progress script select style svg template textarea title video".split())
 FRAME = frozenset("aside footer form".split())
+IN_HEAD = frozenset("base basefont bgsound head link meta noframes noscript script style template title".split())
 RAW = frozenset("script style textarea title".split())
 CONTAINERS = frozenset("article blockquote body center div main section table tbody td tr".split())
 FRAME_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog menu menubar navigation search toolbar".split())
@@ -49,9 +50,11 @@ CLOSES_P = BLOCK - frozenset("body caption dd dt html li optgroup option tbody t
 SAME_LEVEL = {"li": ("li", ("ul", "ol", "menu", "dir")), "dt": ("dt dd", ("dl",)), "dd": ("dt dd", ("dl",)), "tr": ("tr td th", ("table",)), "td": ("td th", ("tr", "table")), "th": ("td th", ("tr", "table")), "option": ("option", ("select",)), "tbody": ("tbody thead tfoot tr td th", ("table",)), "thead": ("tbody thead tfoot tr td th", ("table",)), "tfoot": ("tbody thead tfoot tr td th", ("table",))}
 
 _tag = re.compile(r"<(/?)([A-Za-z][^\s/>]*)")
-_rest = re.compile(r"(?:[^\"'>]|\"[^\"]*\"|'[^']*')*+>")
+_plain = re.compile(r"[^\"'>]*+")
 _attribute = re.compile(r"([^\s=\"'<>/]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
-_hidden = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|display\s*:\s*none", re.I)
+_bare = re.compile(r"\"[^\"]*\"|'[^']*'|=\s*[^\s\"'>]+")
+_hidden = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)", re.I)
+_no_display = re.compile(r"(?:^|;)\s*display\s*:\s*none", re.I)
 _pieces = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _digits = re.compile(r"[0-9]+")
 _closing = {t: re.compile(rf"</{t}(?=[\s/>])", re.I) for t in RAW}
@@ -90,7 +93,7 @@ class Page:
         self.marks.append(f"{tag}.{label}" if label else tag)
         words = {w.lower() for w in _pieces.findall(names)} if names != " " else set()
         framed = tag in FRAME or found.get("role", "").lower() in FRAME_ROLES or (words & FRAME_WORDS and tag not in ("html", "body", "article", "main"))
-        gone = tag in UNSEEN or (attributes and _hidden.search(attributes)) or found.get("aria-hidden", "").lower() == "true"
+        gone = tag in UNSEEN or (attributes and _hidden.search(_bare.sub("= ", attributes))) or _no_display.search(found.get("style", "")) or found.get("aria-hidden", "").lower() == "true"
         if tag == "article" and words & {"comment", "comments", "reply", "replies", "related", "recommended", "promo", "sponsored"}:
             framed = True
         self.skips.append(bool(framed or gone))
@@ -101,7 +104,28 @@ class Page:
 
     def _parse(self, source: str) -> None:
         stack = [self._open("html", -1, "")]
-        at, n, misses = 0, len(source), 0
+        at, n = 0, len(source)
+        endless: set[int] = set()
+
+        def tag_end(at: int) -> int:
+            """The place after a tag's end, quotes observed; of a quote that is never closed, the next end. Quotes from
+            which no end is reached are kept, so all such tags of a page together are read once."""
+            start, passed = at, []
+            while True:
+                at = _plain.match(source, at).end()
+                if at < n and source[at] == ">":
+                    return at + 1
+                if at >= n or at in endless:
+                    break
+                passed.append(at)
+                close = source.find(source[at], at + 1)
+                if close < 0:
+                    break
+                at = close + 1
+            endless.update(passed)
+            end = source.find(">", start)
+            return n if end < 0 else end + 1
+
 
         def shut(depth: int) -> None:
             while len(stack) > depth:
@@ -112,6 +136,8 @@ class Page:
 
         def text(raw: str) -> None:
             if raw:
+                if self.tags[stack[-1]] == "head" and not raw.isspace():
+                    shut(len(stack) - 1)
                 self.texts.append((stack[-1], entities.unescape(raw) if "&" in raw else raw))
 
         while at < n:
@@ -134,13 +160,7 @@ class Page:
                     at = lt + 1
                 continue
             tag = match[2].lower()
-            whole = _rest.match(source, match.end()) if misses < 4 else None
-            if whole is None:  # a quote that is never closed
-                misses += 1
-                end = source.find(">", match.end())
-                end = n if end < 0 else end + 1
-            else:
-                end = whole.end()
+            end = tag_end(match.end())
             attributes = source[match.end() : end - 1]
             at = end
             if match[1]:
@@ -154,8 +174,12 @@ class Page:
             if tag == "html":
                 continue
             if tag == "br":
+                if len(stack) > 1 and self.tags[stack[1]] == "head":
+                    shut(1)
                 text(" ")
                 continue
+            if tag not in IN_HEAD and len(stack) > 1 and self.tags[stack[1]] == "head":
+                shut(1)  # its end tag may be left out
             if tag in VOID:
                 if tag == "hr":
                     self.texts.append((stack[-1], None))

@@ -494,3 +494,27 @@ LAYOUTS = [
 def test_layouts(layout):
     words = "It was a long and quiet day at the river. " * 5
     assert html_extract.main_text(f"<html><body>{layout.replace('{p}', words)}</body></html>", None) == "T\n" + words.strip()
+
+
+def test_optional_tags_hidden_words_and_many_open_quotes():
+    words = "It was a long and quiet day at the river. " * 5
+    assert html_extract.main_text(f"<html><head><meta charset=utf-8><title>t</title><body><h1>T</h1><p>{words}</body></html>", None) == "T\n" + words.strip()
+    assert html_extract.main_text(f"<head><title>t</title><link rel=x><div><p>{words}</div>", None) == words.strip()
+    assert html_extract.main_text(f"<head><title>t</title>plain {words}", None) == "plain " + words.strip()
+    for shown in ('title="The hidden gem"', "data-title='A hidden life'", 'alt="display: none"', "title=hidden", "data-hidden"):
+        assert html_extract.main_text(f"<div {shown}><p>{words}</p></div>", None) == words.strip()
+    for gone in ("hidden", 'class="a" hidden', 'hidden=""', "hidden=until-found", 'style="color:red; display : none"'):
+        assert html_extract.main_text(f"<p>{words}</p><div {gone}><p>secret</p></div>", None) == words.strip()
+    page = "<p>x" + "<i a='>" * 6 + '</i><p><b title="a > b">y</b>'
+    assert html_extract.main_text(page, None) == "x\ny"
+
+
+def test_many_open_quotes_take_linear_time():
+    import time
+
+    start = time.time()
+    html_extract.main_text("<img b='c\" d=\"" * 100_000, None)
+    html_extract.main_text("<img b='" * 100_001, None)
+    html_extract.main_text("<img b=\"'>\" '" * 50_001, None)
+    html_extract.main_text("<img b='>\"'>" * 50_001 + '"', None)
+    assert time.time() - start < 20
