@@ -4,8 +4,8 @@ Each page's containers are scored by the text that they hold outside menus,
 headers, footers, adverts and the like, and the page votes for the tag-class
 path of the best one, with digits taken out of class names. Votes are summed by
 host and path in Spark, and each page is extracted again at the path that won on
-its host. A page without that container, or with next to no text there, falls
-back on its own best one.
+its host, at all elements of that path. A page whose own best container holds
+headings or text outside frames and links that these leave out falls back on it.
 
 The text has one line for each block. Character references are decoded, white
 space (line breaks by ``br`` too) becomes one space, empty blocks go.
@@ -21,6 +21,7 @@ from __future__ import annotations
 import html as entities
 import re
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -254,8 +255,22 @@ class Page:
                 weight[self.parents[k]] += weight[k]
         return weight
 
+    def article_texts(self) -> list[tuple[int, int]]:
+        """(element, place) of the texts that an article may not lose: outside frames, page headers and links, headings whole."""
+        linked, heading, header = [], [], []
+        for k, (t, p) in enumerate(zip(self.tags, self.parents)):
+            linked.append(t == "a" or (p >= 0 and linked[p]))
+            heading.append(t in HEADING or (p >= 0 and heading[p]))
+            banner = t == "header" and (self.tags[p] in ("html", "body") or self.own_header(k, p))
+            header.append(banner or (p >= 0 and header[p]))
+        out = []
+        for at, (k, piece) in enumerate(self.texts):
+            if piece is not None and not self.skips[k] and not header[k] and (heading[k] or not linked[k]) and any(c.isalnum() for c in piece):
+                out.append((k, at))
+        return out
+
     def best(self, weight: list[int]) -> int:
-        """The container of the article: a marked one if it holds a good part, else the smallest with most of the text."""
+        """The container of the article: a marked one if it holds a good part, else the smallest with all of the text."""
         total = weight[0]
         if not total:
             return 0
@@ -268,12 +283,14 @@ class Page:
         children: dict[int, list[int]] = {}
         for k, p in enumerate(self.parents):
             children.setdefault(p, []).append(k)
-        while True:
+        places = [at for _, at in self.article_texts()]
+        while places:
             inner = [k for k in children.get(node, []) if self.tags[k] in CONTAINERS and not self.skips[k]]
             top = max(inner, key=lambda k: (weight[k], -k), default=None)
-            if top is None or 10 * weight[top] < 7 * weight[node]:
+            if top is None or places[0] < self.begins[top] or places[-1] >= self.ends[top]:
                 return node
             node = top
+        return node
 
     def lines(self, top: int) -> str:
         """The text of a container, a line for each block."""
@@ -304,16 +321,18 @@ def vote(source: str) -> str | None:
 
 
 def main_text(source: str, winner: str | None) -> str:
-    """The text at a host's winning path, or in the page's own best container."""
+    """The text at all places of a host's winning path, or in the page's own best container if that would lose some of it."""
     page = Page(source)
-    weight = page.weigh()
-    own = page.best(weight)
+    own = page.best(page.weigh())
     if winner:
         names = winner.split("/")
-        matches = [k for k, m in enumerate(page.marks) if m == names[-1] and not page.skips[k] and page.path(k) == winner]
-        top = max(matches, key=lambda k: (weight[k], -k), default=None)
-        if top is not None and 2 * weight[top] >= weight[own]:
-            return page.lines(top)
+        tops = [k for k, m in enumerate(page.marks) if m == names[-1] and not page.skips[k] and page.path(k) == winner]
+        if tops:
+            held = np.zeros(len(page.texts) + 1, bool)
+            for k in tops:
+                held[page.begins[k] : page.ends[k]] = True
+            if all(held[at] for _, at in page.article_texts() if page.begins[own] <= at < page.ends[own]):
+                return "\n".join(x for k in tops if (x := page.lines(k)))
     return page.lines(own)
 
 

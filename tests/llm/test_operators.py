@@ -518,3 +518,15 @@ def test_many_open_quotes_take_linear_time():
     html_extract.main_text("<img b=\"'>\" '" * 50_001, None)
     html_extract.main_text("<img b='>\"'>" * 50_001 + '"', None)
     assert time.time() - start < 20
+
+
+def test_no_article_text_is_left_outside():
+    words = "It was a long and quiet day at the river. " * 20
+    page = f'<body><div class="post"><h1><a href=x>Title</a></h1><p>lead</p><div class="entry"><p>{words}</p></div><p>The end.</p></div><footer>foot</footer></body>'
+    assert html_extract.main_text(page, None) == f"Title\nlead\n{words.strip()}\nThe end."
+    assert html_extract.vote(page) == "html/body/div.post"
+    assert html_extract.main_text(page, "html/body/div.post/div.entry") == f"Title\nlead\n{words.strip()}\nThe end."
+    header = f'<body><div class="post"><header><h1>Title</h1></header><div class="entry"><p>{words}</p></div></div></body>'
+    assert html_extract.main_text(header, None) == f"Title\n{words.strip()}"
+    parts = f'<body><div id=w><div class="part1"><p>{words}</p></div><div class="part2"><p>Other {words}</p></div></div></body>'
+    assert html_extract.main_text(parts, "html/body/div/div.part") == f"{words.strip()}\nOther {words.strip()}"
