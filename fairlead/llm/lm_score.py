@@ -185,8 +185,13 @@ class Network:
         out = np.empty(len(places), np.float32)
         for a in range(0, len(places), step):
             own = places[a : a + step]
-            share, total = self.shares(self.inner(self.around(codes, own)))
-            out[a : a + step] = np.log(np.maximum(share[np.arange(len(own)), codes[own]], 1e-37) / total)
+            hidden = self.inner(self.around(codes, own))
+            share, total = self.shares(hidden)
+            chosen = share[np.arange(len(own)), codes[own]]
+            out[a : a + step] = np.log(np.maximum(chosen, 1e-30) / total)
+            for k in np.flatnonzero(chosen <= 1e-30).tolist():  # too small for an exponential
+                logits = hidden[k].astype(float) @ self.weights["out"] + self.weights["bias"]
+                out[a + k] = logits[codes[own[k]]] - np.logaddexp.reduce(logits)
         return out
 
     def gradients(self, codes: np.ndarray, places: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:

@@ -433,6 +433,13 @@ def test_lm_trains_on_every_place_once(texts, monkeypatch, rounds):
     assert sum(counts) == len(seen) == n and set(seen.values()) == {1} and min(counts) > 0
 
 
+def test_lm_very_unlikely_words_keep_their_score():
+    network = lm_score.Network(7, lm_score.LmRules(), np.array([0, 0, 0, 0, 0, 0, 300.0]))
+    codes = np.array([7, 7, 1, 2, 6, 7, 7])
+    got = network.log_probabilities(codes, np.array([2, 3, 4]))
+    assert got[0] == pytest.approx(-300, abs=5) and got[1] == pytest.approx(-300, abs=5) and got[2] == pytest.approx(0, abs=1e-3)
+
+
 # Licences
 
 
