@@ -88,7 +88,18 @@ def rule_counts(df: DataFrame, rules: Cleaning = Cleaning(), box: Box | None = N
     return bare.agg(*sums)
 
 
+def rowwise(df: DataFrame, rules: Cleaning = Cleaning()) -> DataFrame:
+    """The rules on single rows, in their fixed order: validity, box, speed, sentinels, course."""
+    return course_rule(without_sentinels(speed_range(within(valid(df), rules.box), rules), rules), rules)
+
+
 def clean(df: DataFrame, rules: Cleaning = Cleaning(), order: tuple[str, ...] = ("t",)) -> DataFrame:
-    """All rules in their fixed order: validity, box, speed, sentinels, course, jumps, near duplicates."""
-    rowwise = course_rule(without_sentinels(speed_range(within(valid(df), rules.box), rules), rules), rules)
-    return without_duplicates(without_jumps(rowwise, rules, order), rules, order)
+    """All rules in their fixed order: those on single rows, jumps, near duplicates."""
+    return without_duplicates(without_jumps(rowwise(df, rules), rules, order), rules, order)
+
+
+def all_counts(df: DataFrame, rules: Cleaning = Cleaning(), order: tuple[str, ...] = ("t",)) -> DataFrame:
+    """One row: rows left after each rule, jumps and near duplicates among them."""
+    steady = flag_jumps(rowwise(df, rules), rules, order).where("kept").drop("kept")
+    last = flag_duplicates(steady, rules, order).agg(F.count("*").alias("after_jumps"), F.count_if("kept").alias("after_duplicates"))
+    return rule_counts(df, rules).crossJoin(last)  # one row each

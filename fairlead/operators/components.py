@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+from itertools import count
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -14,19 +16,29 @@ def shared_folder(spark: SparkSession) -> str:
     if held.isDefined():
         return held.get()
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    if not configured and not spark.sparkContext.master.startswith("local["):
+    if not configured and not re.match(r"local(\[|$)", spark.sparkContext.master):
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     spark.sparkContext.setCheckpointDir(configured or tempfile.mkdtemp(prefix="checkpoint-"))
     return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Compute ``df`` once and cut its lineage in the shared checkpoint folder."""
+    """Compute ``df`` once and cut its lineage in the shared checkpoint folder.
+
+    Its files are deleted when nothing refers to the result any more.
+    """
     shared_folder(df.sparkSession)
+    df.sparkSession.sparkContext._jsc.sc().conf().set("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     return df.checkpoint(eager=True)
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def forget(spark: SparkSession, path: str) -> None:
+    """Delete a folder, in whatever store it lies."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def components(edges: DataFrame) -> DataFrame:
     """Label each node of ``edges(a, b)`` with the least node it can reach.
 
     ``a`` and ``b`` are integers; nulls and self loops are ignored, repeated
@@ -40,7 +52,9 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     labels = settle(both.groupBy("node").agg(F.min("other").alias("least")).select("node", F.least("node", "least").alias("component")))
     total = F.sum(F.col("component").cast("decimal(38,0)"))
     before = labels.agg(total).first()[0]
-    for k in range(rounds):
+    if before is None:  # no edges
+        return labels
+    for k in count():
         told = both.join(labels, "node").select(F.col("other").alias("node"), "component")
         labels = settle(told.union(labels).groupBy("node").agg(F.min("component").alias("component")))
         if k >= 2:
@@ -50,7 +64,6 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if after == before:
             return labels
         before = after
-    raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
 def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:

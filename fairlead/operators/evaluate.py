@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geo import bearing_error, haversine
@@ -10,10 +10,16 @@ from ..functions.geo import bearing_error, haversine
 FEATURES = ("lon", "lat", "sog", "cog")
 
 
-def step_errors(predicted: DataFrame, actual: DataFrame, keys: tuple[str, ...] = ("traj_id", "step")) -> DataFrame:
-    """(keys, distance, speed_error, heading_error, square): for steps that both sides have, so the shorter side counts."""
-    truth = actual.select(*keys, *[F.col(c).alias(f"true_{c}") for c in FEATURES])
-    both = predicted.select(*keys, *FEATURES).join(truth, list(keys))
+def step_errors(predicted: DataFrame, actual: DataFrame, keys: tuple[str, ...] = ("traj_id", "step"), strict: bool = False) -> DataFrame:
+    """(keys, distance, speed_error, heading_error, square): for steps that both sides have, so the shorter side counts.
+
+    With ``strict`` a step that only one side has is an error, raised when the result is computed.
+    """
+    truth = actual.select(*keys, *[F.col(c).alias(f"true_{c}") for c in FEATURES], F.lit(True).alias("in truth"))
+    both = predicted.select(*keys, *FEATURES, F.lit(True).alias("in guess")).join(truth, list(keys), "full" if strict else "inner")
+    if strict:
+        known = F.col("in truth") & F.col("in guess")
+        both = both.where(F.when(known.isNull(), F.raise_error(F.lit("predicted and actual tracks differ in length")).cast("boolean")).otherwise(known))
     square = sum((F.pow(F.col(c) - F.col(f"true_{c}"), 2) for c in FEATURES), F.lit(0.0)) / len(FEATURES)
     return both.select(
         *keys,
@@ -24,17 +30,29 @@ def step_errors(predicted: DataFrame, actual: DataFrame, keys: tuple[str, ...] =
     )
 
 
-def by_trajectory(errors: DataFrame, keys: tuple[str, ...] = ("traj_id",)) -> DataFrame:
-    """Mean and largest errors of each trajectory; one without common steps has no row."""
-    return errors.groupBy(*keys).agg(
-        F.avg("distance").alias("ade"),
+def mean(column: str) -> Column:
+    """The mean by exact decimal sums, the same in any order of rows and partitions; values that are no decimals are averaged as they are."""
+    exact = F.col(column).try_cast("decimal(38,12)")
+    return F.when(F.count(exact) == F.count(column), F.sum(exact).cast("double") / F.count(column)).otherwise(F.avg(column))
+
+
+def by_trajectory(errors: DataFrame, keys: tuple[str, ...] = ("traj_id",), trajectories: DataFrame | None = None) -> DataFrame:
+    """Mean and largest errors of each trajectory.
+
+    One without common steps has no row, or, where it is named in ``trajectories`` (keys), a row of NaN.
+    """
+    found = errors.groupBy(*keys).agg(
+        mean("distance").alias("ade"),
         F.max("distance").alias("mde"),
-        F.avg("speed_error").alias("avg_speed_error"),
+        mean("speed_error").alias("avg_speed_error"),
         F.max("speed_error").alias("max_speed_error"),
-        F.avg("heading_error").alias("avg_heading_error"),
+        mean("heading_error").alias("avg_heading_error"),
         F.max("heading_error").alias("max_heading_error"),
-        (1 / (1 + F.avg("square"))).alias("norm_space_fit"),
+        (1 / (1 + mean("square"))).alias("norm_space_fit"),
     )
+    if trajectories is None:
+        return found
+    return trajectories.select(*keys).distinct().join(found, list(keys), "left").fillna(float("nan"), [c for c in found.columns if c not in keys])
 
 
 def by_cluster(reports: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ memory: no group is collected.
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Callable, Iterator
 from typing import Any
 
@@ -69,6 +70,30 @@ def sorted_fold(df: DataFrame, key: str, order: list[str], reads: list[str], mak
     return dealt.mapInArrow(run, schema)
 
 
+class Skipping:
+    """A fold that answers no for rows without a time or place, and does not show them to the fold inside."""
+
+    def __init__(self, inner: Any, needed: int):
+        self.inner, self.needed = inner, needed
+        self.order: deque[bool] = deque()  # for each row not answered yet, whether it is shown
+        self.known: deque[bool] = deque()
+
+    def _answers(self, more: list[bool]) -> list[bool]:
+        self.known.extend(more)
+        out: list[bool] = []
+        while self.order and (not self.order[0] or self.known):
+            out.append(self.known.popleft() if self.order.popleft() else False)
+        return out
+
+    def push(self, row: tuple) -> list[bool]:
+        whole = all(x is not None and x == x for x in row[: self.needed])
+        self.order.append(whole)
+        return self._answers(self.inner.push(row) if whole else [])
+
+    def close(self) -> list[bool]:
+        return self._answers(self.inner.close())
+
+
 class JumpFold:
     """Keeps a row unless the speed from the last kept one is impossible, or no time has passed."""
 
@@ -164,18 +189,18 @@ class BerthFold:
 
 
 def flag_jumps(df: DataFrame, rules: Cleaning = Cleaning(), order: tuple[str, ...] = ("t",)) -> DataFrame:
-    """Add ``kept``: false where a position cannot be reached from the last kept one."""
-    return sorted_fold(df, "mmsi", list(order), ["t", "lon", "lat"], lambda: JumpFold(rules.jump_speed, rules.earth_radius), "kept")
+    """Add ``kept``: false where a position cannot be reached from the last kept one, or where time or place is missing."""
+    return sorted_fold(df, "mmsi", list(order), ["t", "lon", "lat"], lambda: Skipping(JumpFold(rules.jump_speed, rules.earth_radius), 3), "kept")
 
 
 def flag_duplicates(df: DataFrame, rules: Cleaning = Cleaning(), order: tuple[str, ...] = ("t",)) -> DataFrame:
-    """Add ``kept``: false where a report follows the last kept one too soon."""
-    return sorted_fold(df, "mmsi", list(order), ["t"], lambda: DuplicateFold(rules.duplicate_seconds), "kept")
+    """Add ``kept``: false where a report follows the last kept one too soon, or has no time."""
+    return sorted_fold(df, "mmsi", list(order), ["t"], lambda: Skipping(DuplicateFold(rules.duplicate_seconds), 1), "kept")
 
 
 def flag_berths(df: DataFrame, rules: Berth = Berth(), order: tuple[str, ...] = ("t",), radius: float = 6371000.0) -> DataFrame:
-    """Add ``in_berth``: true where a vessel lies still."""
-    return sorted_fold(df, "mmsi", list(order), ["t", "lon", "lat", "sog"], lambda: BerthFold(rules, radius), "in_berth")
+    """Add ``in_berth``: true where a vessel lies still; reports without time or place are in no berth and end none."""
+    return sorted_fold(df, "mmsi", list(order), ["t", "lon", "lat", "sog"], lambda: Skipping(BerthFold(rules, radius), 3), "in_berth")
 
 
 def berth_segments(df: DataFrame, rules: Berth = Berth(), order: tuple[str, ...] = ("t",)) -> DataFrame:

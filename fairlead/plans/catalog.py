@@ -157,14 +157,28 @@ def junction_lookup(spark, sf_dir):
 # Folds along a vessel's reports
 
 NUMBERED = ", o AS (SELECT *, row_number() OVER (PARTITION BY mmsi ORDER BY t, event_id) AS i FROM p)"
-JUMP = f"(n.t - w.kt <= 0 OR {haversine_sql('w.klat', 'w.klon', 'n.lat', 'n.lon')} / (n.t - w.kt) > 25.0::DOUBLE * 0.5144::DOUBLE * 1.5::DOUBLE)"
-JUMP_SQL = f"""{NUMBERED}, w AS (
+
+
+def jump_sql(knots: float) -> str:
+    """Rows ``o`` with ``kept``, as relation ``w``."""
+    jump = f"(n.t - w.kt <= 0 OR {haversine_sql('w.klat', 'w.klon', 'n.lat', 'n.lon')} / (n.t - w.kt) > {knots}::DOUBLE * 0.5144::DOUBLE * 1.5::DOUBLE)"
+    return f""", w AS (
     SELECT mmsi, i, event_id, true AS kept, t AS kt, lon AS klon, lat AS klat FROM o WHERE i = 1
     UNION ALL
-    SELECT n.mmsi, n.i, n.event_id, NOT {JUMP}, CASE WHEN {JUMP} THEN w.kt ELSE n.t END, CASE WHEN {JUMP} THEN w.klon ELSE n.lon END, CASE WHEN {JUMP} THEN w.klat ELSE n.lat END
+    SELECT n.mmsi, n.i, n.event_id, NOT {jump}, CASE WHEN {jump} THEN w.kt ELSE n.t END, CASE WHEN {jump} THEN w.klon ELSE n.lon END, CASE WHEN {jump} THEN w.klat ELSE n.lat END
     FROM w JOIN o n ON n.mmsi = w.mmsi AND n.i = w.i + 1)"""
 
 
+JUMP_SQL = NUMBERED + jump_sql(25.0)
+#: All rules one after another: ``q`` by row, ``w`` without jumps, ``d`` with the near duplicates marked.
+CLEAN_SQL = f""", q AS (SELECT event_id, mmsi, t, lon, lat, CASE WHEN cog < 360 THEN cog END AS cog FROM p WHERE lon BETWEEN -119 AND -117 AND lat BETWEEN 33 AND 35 AND t IS NOT NULL
+        AND mmsi BETWEEN 100000000 AND 999999999 AND sog BETWEEN 0 AND 20 AND coalesce(cog >= 0, true)),
+    o AS (SELECT *, row_number() OVER (PARTITION BY mmsi ORDER BY t, event_id) AS i FROM q){jump_sql(20.0)},
+    s AS (SELECT o.*, row_number() OVER (PARTITION BY o.mmsi ORDER BY o.i) AS j FROM o JOIN w ON w.mmsi = o.mmsi AND w.i = o.i WHERE w.kept),
+    d AS (SELECT mmsi, j, event_id, cog, true AS kept, t AS kt FROM s WHERE j = 1
+        UNION ALL SELECT n.mmsi, n.j, n.event_id, n.cog, n.t - d.kt >= 1, CASE WHEN n.t - d.kt >= 1 THEN n.t ELSE d.kt END FROM d JOIN s n ON n.mmsi = d.mmsi AND n.j = d.j + 1)"""
+
+
 @query(on(10, f"{JUMP_SQL} SELECT event_id, mmsi FROM w WHERE kept"))
 def jump_filter(spark, sf_dir):
     return clean.without_jumps(positions(spark, sf_dir, 10), order=ORDER).select("event_id", "mmsi")
@@ -177,9 +191,20 @@ def near_duplicate(spark, sf_dir):
     return clean.without_duplicates(positions(spark, sf_dir), Cleaning(duplicate_seconds=600.0), ORDER).select("event_id", "mmsi")
 
 
-@query()
+TWENTY = dataclasses.replace(ANY_BOX, sog_max=20.0)
+
+
+@query(on(10, f"{CLEAN_SQL} SELECT event_id, mmsi, cog FROM d WHERE kept"))
 def clean_all(spark, sf_dir):
-    return clean.clean(positions(spark, sf_dir, 10), dataclasses.replace(ANY_BOX, sog_max=20.0), ORDER).select("event_id", "mmsi", "cog")
+    return clean.clean(positions(spark, sf_dir, 10), TWENTY, ORDER).select("event_id", "mmsi", "cog")
+
+
+@query(on(10, f"""{CLEAN_SQL} SELECT (SELECT count(*) FROM p) AS rows_in, (SELECT count(*) FROM p WHERE lon BETWEEN -180 AND 180 AND lat BETWEEN -90 AND 90 AND t IS NOT NULL AND mmsi BETWEEN 100000000 AND 999999999) AS after_validity,
+    (SELECT count(*) FROM p WHERE lon BETWEEN -119 AND -117 AND lat BETWEEN 33 AND 35 AND t IS NOT NULL AND mmsi BETWEEN 100000000 AND 999999999) AS after_box,
+    (SELECT count(*) FROM p WHERE lon BETWEEN -119 AND -117 AND lat BETWEEN 33 AND 35 AND t IS NOT NULL AND mmsi BETWEEN 100000000 AND 999999999 AND sog BETWEEN 0 AND 20) AS after_speed,
+    (SELECT count(*) FROM q) AS after_course, (SELECT count(*) FROM s) AS after_jumps, (SELECT count(*) FROM d WHERE kept) AS after_duplicates"""))
+def clean_counts(spark, sf_dir):
+    return clean.all_counts(positions(spark, sf_dir, 10), TWENTY, ORDER)
 
 
 SLOW = Berth(knots=5.0)
@@ -593,11 +618,16 @@ def split_random(spark, sf_dir):
     return learn.split_at_random(members)
 
 
+
+def exact_mean(c: str) -> str:
+    return f"sum({c}::DECIMAL(30, 12))::DOUBLE / count({c})"
+
+
 ERRORS_SQL = POINTS_SQL + f""", o AS (SELECT *, row_number() OVER (PARTITION BY traj_id ORDER BY t, event_id) AS step FROM u),
     a AS (SELECT traj_id, step, lon, lat, sog, cog FROM o), q AS (SELECT traj_id, step - 1 AS step, lon, lat, sog, cog FROM o WHERE step > 1),
     e AS (SELECT a.traj_id, a.step, {haversine_sql('a.lat', 'a.lon', 'q.lat', 'q.lon')} AS distance, abs(a.sog - q.sog) AS speed_error, least(abs(a.cog - q.cog) % 360, 360 - abs(a.cog - q.cog) % 360) AS heading_error,
         (pow(a.lon - q.lon, 2) + pow(a.lat - q.lat, 2) + pow(a.sog - q.sog, 2) + pow(a.cog - q.cog, 2)) / 4 AS square FROM a JOIN q ON q.traj_id = a.traj_id AND q.step = a.step),
-    tr AS (SELECT traj_id, avg(distance) AS ade, max(distance) AS mde, avg(speed_error) AS avg_speed_error, max(speed_error) AS max_speed_error, avg(heading_error) AS avg_heading_error, max(heading_error) AS max_heading_error, 1 / (1 + avg(square)) AS norm_space_fit FROM e GROUP BY traj_id)"""
+    tr AS (SELECT traj_id, {exact_mean('distance')} AS ade, max(distance) AS mde, {exact_mean('speed_error')} AS avg_speed_error, max(speed_error) AS max_speed_error, {exact_mean('heading_error')} AS avg_heading_error, max(heading_error) AS max_heading_error, 1 / (1 + {exact_mean('square')}) AS norm_space_fit FROM e GROUP BY traj_id)"""
 
 
 def track_reports(spark, sf_dir) -> DataFrame:
@@ -613,9 +643,13 @@ def track_reports(spark, sf_dir) -> DataFrame:
 REPORT = ("ade", "mde", "avg_speed_error", "max_speed_error", "avg_heading_error", "max_heading_error", "norm_space_fit")
 
 
-@query(on(1, ERRORS_SQL + " SELECT traj_id, " + ", ".join(f"round({c}, 4) AS {c}" for c in REPORT) + " FROM tr"))
+#: Means of speeds and courses are exact sums on both sides and are shown whole; what sines have a part in is rounded.
+SHOWN = {c: f"{c}" if c in ("avg_speed_error", "avg_heading_error") else f"round({c}, 4) AS {c}" for c in REPORT}
+
+
+@query(on(1, ERRORS_SQL + " SELECT traj_id, " + ", ".join(SHOWN.values()) + " FROM tr"))
 def eval_trajectory(spark, sf_dir):
-    return rounded(track_reports(spark, sf_dir), 4)
+    return track_reports(spark, sf_dir).selectExpr("traj_id", *SHOWN.values())
 
 
 @query(on(1, ERRORS_SQL + """ SELECT (traj_id % 5)::INTEGER AS cluster_id, count(*) AS n_trajectories, round(avg(ade), 4) AS ade_mean, round(median(ade), 4) AS ade_median, round(stddev_pop(ade), 4) AS ade_std, round(avg(mde), 4) AS mde_mean, round(max(mde), 4) AS mde_max,

@@ -84,3 +84,13 @@ def test_null_vessels_are_left_out_and_empty_tables_work(spark):
 def test_sentinels_keep_the_row(spark):
     df = spark.createDataFrame([(1, 360.0, 511.0), (2, 359.0, 10.0)], "k int, cog double, heading double")
     assert [tuple(r) for r in clean.without_sentinels(df).orderBy("k").collect()] == [(1, None, None), (2, 359.0, 10.0)]
+
+
+def test_rows_without_time_or_place(spark):
+    rows = [(1, 0.0, 0.0, 0.0, 0.0), (1, None, 0.0, 0.0, 0.0), (1, 1000.0, None, 0.0, 0.0), (1, 2000.0, 0.0, 0.0, 0.0), (1, 3000.0, 0.0, float("nan"), 0.0), (None, 1.0, 0.0, 0.0, 0.0)]
+    frame = spark.createDataFrame(rows, "mmsi long, t double, lon double, lat double, sog double")
+    berth = {r["t"]: r["in_berth"] for r in folds.flag_berths(frame).collect()}
+    assert berth == {0.0: True, None: False, 1000.0: False, 2000.0: True, 3000.0: False}
+    kept = {r["t"]: r["kept"] for r in folds.flag_jumps(frame).collect()}
+    assert kept == {0.0: True, None: False, 1000.0: False, 2000.0: True, 3000.0: False}
+    assert [r["t"] for r in folds.flag_duplicates(frame).where("NOT kept").collect()] == [None]
