@@ -8,17 +8,24 @@ both sides keep. Document fingerprints are joined with the fingerprints of the
 benchmark; where they meet, the hit is extended to the whole window around it,
 and the words are compared exactly.
 
-An item of fewer than ten words is one window of its own length, which is
-looked up by the hash of all its words.
-
-The benchmark is sent to the executors in blocks of at most ``block_bytes`` of
-text (one item, if it is longer). A batch of documents meets one block after
-another, so that neither side is shuffled and only one block is in memory.
+An item of fewer than ten words is one window of its own length, whose
+fingerprint is the hash of all its words.
+
+The size of the benchmark's texts is measured first. Up to ``map_bytes`` they go
+to all tasks and the join is done where the documents are, without a shuffle.
+Beyond, both sides are fingerprinted in Spark and joined by a shuffle: a sieve of
+fixed size (2**24 bits of the benchmark's fingerprints) lets documents pass on
+only windows that may meet one, equal windows of equal texts are folded, and the
+join on fingerprint, length and words finds what occurs. Documents take part by
+a digest of their text, so copies are joined once; no group is collected but the
+items found in one text.
 
 Defined results: null texts have no words; items without words never occur;
-items with the same text all count; repeated document rows give repeated
-results; an empty benchmark contaminates nothing; an empty table of documents
-gives an empty one. Columns other than the id and the text are ignored.
+items with the same text all count; a null item id is shown as ``null``; repeated
+document rows give repeated results; an empty benchmark contaminates nothing; an
+empty table of documents gives an empty one. Columns other than the id and the
+text are ignored by the report; ``decontaminate`` keeps all columns, also where
+their names clash, and drops each copy of a contaminated row.
 """
 
 from __future__ import annotations
@@ -28,21 +35,24 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .textkit import arrow_map, blocks, keyed, mix, powers, utf8
+from ..operators.components import settle
+from .textkit import arrow_map, blocks, by_place, keyed, mix, powers, same_columns, utf8
 
 WINDOW, GRAM = 10, 6
 SLIDE = WINDOW - GRAM + 1
-BLOCK_BYTES = 4 << 20
+MAP_BYTES = 4 << 20
 _word = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _lower = np.arange(256, dtype=np.uint8)
 _lower[65:91] += 32
 _is_word = np.zeros(256, bool)
 _is_word[[*range(48, 58), *range(97, 123), *range(128, 256)]] = True
 BITS = 20
+#: Bits of a fingerprint that the sieve of the shuffled join looks at.
+SIEVE_BITS = 24
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -116,93 +126,189 @@ def member(values: np.ndarray, table: np.ndarray) -> np.ndarray:
     return table[place] == values
 
 
-def scan(texts: list[bytes], index: list) -> tuple[np.ndarray, np.ndarray, list[set]]:
-    """Words, hit words and the items that occur, for each text. index: blocks or broadcasts of them."""
+def scan(texts: list[bytes], block: Block) -> tuple[np.ndarray, np.ndarray, list[set]]:
+    """Words, hit words and the items that occur, for each text."""
     with np.errstate(over="ignore"):
         data, starts, ends, hashes, counts = split_words(texts)
         owner = np.repeat(np.arange(len(texts)), counts)
         edge = np.zeros(len(starts) + 1, np.int32)
         found: list[set] = [set() for _ in texts]
-        minima = None
-        for entry in index:
-            block = entry if isinstance(entry, Block) else entry.value
-            for n, table in block.hashes.items():
-                inside = len(starts) - n + 1
-                if inside <= 0:
-                    continue
-                if n == WINDOW:
-                    if minima is None:
-                        minima = least(grams(hashes, GRAM), SLIDE)
-                    where = np.flatnonzero(block.sieve[(minima >> np.uint64(64 - BITS)).astype(np.int64)])
-                    where = where[member(minima[where], block.prints)]
-                else:
-                    where = np.arange(inside)
-                where = where[owner[where] == owner[where + n - 1]]
-                if not len(where):
-                    continue
-                whole = np.zeros(len(where), np.uint64)
-                for k in range(n):
-                    whole = whole * np.uint64(0x9E3779B97F4A7C15) + hashes[where + k]
-                where = where[member(mix(whole), table)]
-                for a in where.tolist():
-                    owners = block.windows.get(b" ".join([data[s:e].tobytes() for s, e in zip(starts[a : a + n].tolist(), ends[a : a + n].tolist())]))
-                    if owners:
-                        edge[a] += 1
-                        edge[a + n] -= 1
-                        found[owner[a]].update(block.ids[k] for k in owners)
-            if len(index) > 1 and not isinstance(entry, Block):
-                entry.__dict__.pop("_value", None)  # one block in memory at a time
+        for n, table in block.hashes.items():
+            inside = len(starts) - n + 1
+            if inside <= 0:
+                continue
+            if n == WINDOW:
+                minima = least(grams(hashes, GRAM), SLIDE)
+                where = np.flatnonzero(block.sieve[(minima >> np.uint64(64 - BITS)).astype(np.int64)])
+                where = where[member(minima[where], block.prints)]
+            else:
+                where = np.arange(inside)
+            where = where[owner[where] == owner[where + n - 1]]
+            if not len(where):
+                continue
+            whole = np.zeros(len(where), np.uint64)
+            for k in range(n):
+                whole = whole * np.uint64(0x9E3779B97F4A7C15) + hashes[where + k]
+            where = where[member(mix(whole), table)]
+            for a in where.tolist():
+                owners = block.windows.get(window_bytes(data, starts, ends, a, n))
+                if owners:
+                    edge[a] += 1
+                    edge[a + n] -= 1
+                    found[owner[a]].update(block.ids[k] for k in owners)
         hit = np.cumsum(edge[:-1]) > 0
     return counts, np.bincount(owner[hit], minlength=len(texts)), found
 
 
-def benchmark_blocks(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int) -> list:
-    """Broadcasts of blocks, each of at most ``block_bytes`` of item text or one item."""
-    context = benchmark.sparkSession.sparkContext
-    out, held, size = [], [], 0
-    for item, text in keyed(benchmark, id_col, text_col).where(F.col(text_col).isNotNull()).toLocalIterator():
-        raw = text.encode()
-        if held and size + len(raw) > block_bytes:
-            out.append(context.broadcast(Block(held)))
-            held, size = [], 0
-        held.append((item, raw))
-        size += len(raw)
-    if held:
-        out.append(context.broadcast(Block(held)))
+def window_bytes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, a: int, n: int) -> bytes:
+    """The words of a window, a space between them."""
+    return b" ".join([data[s:e].tobytes() for s, e in zip(starts[a : a + n].tolist(), ends[a : a + n].tolist())])
+
+
+def prints(hashes: np.ndarray, n: int) -> np.ndarray:
+    """The fingerprint of each window of ``n`` words: the least hash of its grams, or of a shorter one its only hash."""
+    with np.errstate(over="ignore"):
+        return least(grams(hashes, GRAM), SLIDE) if n == WINDOW else grams(hashes, n)
+
+
+WINDOWS = T.StructType([T.StructField("item", T.StringType()), T.StructField("n", T.IntegerType()), T.StructField("print", T.LongType()), T.StructField("window", T.BinaryType())])
+
+
+def benchmark_windows(items: DataFrame) -> DataFrame:
+    """(item, n, print, window): the different windows of each item of (item, text)."""
+
+    def rows(batch: pa.RecordBatch):
+        texts, ids = utf8(batch.column(1)), batch.column(0).to_pylist()
+        for a, b in blocks(texts):
+            data, starts, ends, hashes, counts = split_words(texts[a:b])
+            out: list[list] = [[], [], [], []]
+            first = 0
+            for item, count in zip(ids[a:b], counts.tolist()):
+                n = min(WINDOW, count)
+                if n:
+                    made = prints(hashes[first : first + count], n).view(np.int64).tolist()
+                    known = {window_bytes(data, starts, ends, first + k, n): p for k, p in enumerate(made)}
+                    for column, more in zip(out, ([item] * len(known), [n] * len(known), list(known.values()), list(known))):
+                        column.extend(more)
+                first += count
+            yield out
+
+    return arrow_map(items, WINDOWS, rows).distinct()
+
+
+def sieve_of(windows: DataFrame) -> np.ndarray:
+    """Bits of all fingerprints, by their highest ``SIEVE_BITS`` bits: at most 2**18 rows reach the driver."""
+    place = F.shiftrightunsigned("print", 64 - SIEVE_BITS)
+    words = windows.groupBy(F.shiftright(place, 6).cast("int").alias("at")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(print, {64 - SIEVE_BITS}) & 63 as int))")).alias("bits")).toArrow()
+    out = np.zeros(1 << (SIEVE_BITS - 6), np.int64)
+    out[words["at"].to_numpy()] = words["bits"].to_numpy()
     return out
 
 
+CANDIDATE = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("n", T.IntegerType()), T.StructField("print", T.LongType()), T.StructField("window", T.BinaryType())]))
+
+
+def candidates(chosen: DataFrame, windows: DataFrame) -> DataFrame:
+    """Rows (id, text) as (id, digest, n_words, may): ``may`` are windows whose fingerprint passes the sieve."""
+    sizes = [r["n"] for r in windows.select("n").distinct().collect()]  # at most ten
+    shared = chosen.sparkSession.sparkContext.broadcast(sieve_of(windows))  # 2 MB
+    schema = T.StructType([chosen.schema[0], T.StructField("digest", T.StringType()), T.StructField("n_words", T.LongType()), T.StructField("may", CANDIDATE)])
+
+    def rows(batch: pa.RecordBatch):
+        texts, bits = utf8(batch.column(1)), shared.value
+        for a, b in blocks(texts):
+            data, starts, ends, hashes, counts = split_words(texts[a:b])
+            owner = np.repeat(np.arange(b - a), counts)
+            first = np.cumsum(counts) - counts
+            may: list[list] = [[] for _ in range(b - a)]
+            for n in sizes:
+                if len(starts) < n:
+                    continue
+                own = prints(hashes, n)
+                top = own >> np.uint64(64 - SIEVE_BITS)
+                where = np.flatnonzero((bits[(top >> np.uint64(6)).astype(np.int64)] >> (top & np.uint64(63)).astype(np.int64)) & 1)
+                where = where[owner[where] == owner[where + n - 1]]
+                for k, p in zip(where.tolist(), own[where].view(np.int64).tolist()):
+                    may[owner[k]].append({"start": k - int(first[owner[k]]), "n": n, "print": p, "window": window_bytes(data, starts, ends, k, n)})
+            yield [batch.column(0).slice(a, b - a), [hashlib.sha256(t).hexdigest() for t in texts[a:b]], counts.tolist(), may]
+
+    return arrow_map(chosen, schema, rows)
+
+
+def occurrences(held: DataFrame, windows: DataFrame) -> DataFrame:
+    """(digest, start, n, print, window) of benchmark windows in texts, from what ``candidates`` gives."""
+    each = held.select("digest", F.explode("may").alias("m")).select("digest", "m.*").distinct()
+    return each.join(windows.select("n", "print", "window").distinct(), ["n", "print", "window"], "left_semi")
+
+
+def found_by_join(held: DataFrame, windows: DataFrame) -> DataFrame:
+    """(digest, n_hit, items) of texts in which windows occur."""
+    met = settle(occurrences(held, windows))
+    before = F.coalesce(F.max(F.col("start") + F.col("n")).over(Window.partitionBy("digest").orderBy("start", "n").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    fresh = F.greatest(F.lit(0), F.col("start") + F.col("n") - F.greatest(before, F.col("start")))
+    hits = met.select("digest", fresh.alias("fresh")).groupBy("digest").agg(F.sum("fresh").alias("n_hit"))
+    items = met.select("digest", "n", "print", "window").distinct().join(windows, ["n", "print", "window"]).groupBy("digest").agg(F.sort_array(F.collect_set("item")).alias("items"))
+    return hits.join(items, "digest")
+
+
+def items_of(benchmark: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int]:
+    """Items as (item, text), and the bytes of their texts."""
+    items = keyed(benchmark, id_col, text_col).toDF("item", "text").where("text IS NOT NULL")
+    items = items.select(F.coalesce(F.col("item").cast("string"), F.lit("null")).alias("item"), "text")
+    return items, items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+
+
+def shared_block(items: DataFrame):
+    """A broadcast of a benchmark whose size has been checked."""
+    return items.sparkSession.sparkContext.broadcast(Block([(i, t.encode()) for i, t in items.collect()]))
+
+
 REPORT = T.StructType(
     [T.StructField(c, T.LongType()) for c in ("n_words", "n_hit", "n_items")]
     + [T.StructField("items_sha256", T.StringType()), T.StructField("contaminated", T.BooleanType()), T.StructField("items", T.ArrayType(T.StringType()))]
 )
 
 
-def contamination_report(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def contamination_report(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", map_bytes: int = MAP_BYTES) -> DataFrame:
     """For each document its words, hit words and the benchmark items found in it."""
-    index = benchmark_blocks(benchmark, item_col, text_col, block_bytes)
+    items, size = items_of(benchmark, item_col, text_col)
     chosen = keyed(docs, id_col, text_col)
+    if size > map_bytes:
+        windows = settle(benchmark_windows(items))
+        held = settle(candidates(chosen, windows))
+        whole = held.select(id_col, "digest", "n_words").join(found_by_join(held, windows), "digest", "left")
+        names = F.coalesce("items", F.array().cast("array<string>"))
+        hits = F.coalesce("n_hit", F.lit(0)).cast("long")
+        return whole.select(id_col, "n_words", hits.alias("n_hit"), F.size(names).cast("long").alias("n_items"), F.sha2(F.array_join(names, ",").cast("binary"), 256).alias("items_sha256"), (hits > 0).alias("contaminated"), names.alias("items"))
+    index = shared_block(items)
 
     def rows(batch: pa.RecordBatch):
         texts = utf8(batch.column(1))
         for a, b in blocks(texts):
-            counts, hits, found = scan(texts[a:b], index)
-            items = [sorted(map(str, x)) for x in found]
-            yield [batch.column(0).slice(a, b - a), counts.tolist(), hits.tolist(), list(map(len, items)), [hashlib.sha256(",".join(x).encode()).hexdigest() for x in items], (hits > 0).tolist(), items]
+            counts, hits, found = scan(texts[a:b], index.value)
+            names = [sorted(x) for x in found]
+            yield [batch.column(0).slice(a, b - a), counts.tolist(), hits.tolist(), list(map(len, names)), [hashlib.sha256(",".join(x).encode()).hexdigest() for x in names], (hits > 0).tolist(), names]
 
     return arrow_map(chosen, T.StructType([chosen.schema[id_col], *REPORT.fields]), rows)
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", map_bytes: int = MAP_BYTES) -> DataFrame:
     """The rows of ``docs`` in which no benchmark window occurs, with all their columns."""
-    index = benchmark_blocks(benchmark, item_col, text_col, block_bytes)
+    items, size = items_of(benchmark, item_col, text_col)
     at = docs.columns.index(text_col)
+    if size > map_bytes:
+        windows = settle(benchmark_windows(items))
+        placed = by_place(docs)
+        text = F.coalesce(F.col(f"c{at}"), F.lit(""))
+        bad = settle(occurrences(candidates(placed.select(F.lit(0).alias("id"), text.alias("text")), windows), windows).select("digest").distinct())
+        return placed.withColumn("digest", F.sha2(text.cast("binary"), 256)).join(bad, "digest", "left_anti").drop("digest").toDF(*docs.columns)
+    index = shared_block(items)
 
     def rows(batch: pa.RecordBatch):
         texts = utf8(batch.column(at))
         for a, b in blocks(texts):
-            _, hits, _ = scan(texts[a:b], index)
+            _, hits, _ = scan(texts[a:b], index.value)
             stay = pa.array(np.flatnonzero(hits == 0) + a, pa.int64())
             yield [batch.column(c).take(stay) for c in range(batch.num_columns)]
 
-    return arrow_map(docs, docs.schema, rows)
+    return same_columns(docs, rows)

@@ -59,6 +59,17 @@ def arrow_map(df: DataFrame, schema: T.StructType, rows: Callable[[pa.RecordBatc
     return df.mapInArrow(run, schema)
 
 
+def same_columns(df: DataFrame, rows: Callable[[pa.RecordBatch], Iterator[list]]) -> DataFrame:
+    """``arrow_map`` that keeps the columns of ``df``, whatever their names: inside they go by their places."""
+    placed = by_place(df)
+    return arrow_map(placed, placed.schema, rows).toDF(*df.columns)
+
+
+def by_place(df: DataFrame) -> DataFrame:
+    """``df`` with columns c0, c1, and so on, so that names which differ in case only, or not at all, do no harm."""
+    return df.toDF(*[f"c{k}" for k in range(len(df.columns))])
+
+
 #: Multiplier of the positional hash and its inverse modulo 2**64.
 BASE = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
