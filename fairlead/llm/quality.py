@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .textkit import arrow_map, blocks, keyed, mix, utf8
+from .textkit import arrow_map, blocks, keyed, mix, same_columns, utf8
 
 # Phrases of lines that a page's frame puts into a text, lower case.
 BOILERPLATE = (
@@ -188,12 +188,12 @@ def quality_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def quality_filter(docs: DataFrame, text_col: str = "text", length_col: str | None = "n_chars", rules: QualityRules = QualityRules()) -> DataFrame:
     """The rows of ``docs`` that are kept, without their failing lines.
 
-    Columns stay as they are; ``length_col``, if there is one, gets the new length.
+    Columns stay as they are, also where names clash; ``length_col``, if there is one, gets the new length. A null
+    or empty text is rejected; repeated rows are kept or rejected alike; an empty table gives an empty one.
     """
     names = docs.columns
     at = names.index(text_col)
     measured = names.index(length_col) if length_col in names else -1
-    schema = docs.schema
 
     def rows(batch: pa.RecordBatch):
         texts = utf8(batch.column(at))
@@ -208,4 +208,4 @@ def quality_filter(docs: DataFrame, text_col: str = "text", length_col: str | No
                 columns[measured] = [len(x) for x in fresh]
             yield columns
 
-    return arrow_map(docs, schema, rows)
+    return same_columns(docs, rows)

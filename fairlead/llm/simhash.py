@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.components import components, settle
-from .textkit import arrow_map, blocks, keyed, utf8
+from .textkit import arrow_map, blocks, by_place, keyed, utf8
 
 SEED = 42
 SHINGLE = 3
@@ -121,20 +121,20 @@ def classes(marked: DataFrame, id_col: str) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each component, that with the least id; all columns stay.
+    """One row of each component, that with the least id; all columns stay, also where their names clash.
 
-    Where ids are unique, rows are chosen by id. Otherwise the fingerprint joins
-    the key, and of rows that share both, one stays.
+    Where ids are unique, rows are chosen by id. Otherwise the fingerprint joins the
+    key, and of rows that share both, the one with the least text, then with the
+    least other columns (as JSON, in order), stays.
     """
     held = settle(fingerprints(docs, id_col, text_col))
     named = classes(held, id_col)
     first = settle(named.groupBy("component").agg(F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), "bits")).alias("chosen")))
+    own, at, placed = f"c{docs.columns.index(id_col)}", docs.columns.index(text_col), by_place(docs)
     if not held.groupBy(id_col).agg(F.count("*").alias("n")).where("n > 1").limit(1).count():
         wanted = first.select(F.col("chosen.id").alias("chosen_id"))
-        return docs.join(wanted, docs[id_col].eqNullSafe(wanted["chosen_id"]), "left_semi")
+        return placed.join(wanted, placed[own].eqNullSafe(wanted["chosen_id"]), "left_semi").toDF(*docs.columns)
     wanted = first.select(F.col("chosen.id").alias("chosen_id"), F.col("chosen.bits").alias("chosen_bits"))
-    at = docs.columns.index(text_col)
-    mark = "simhash bits of this row"
 
     def rows(batch: pa.RecordBatch):
         texts = utf8(batch.column(at))
@@ -142,6 +142,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             made = np.array([fingerprint(t) for t in texts[a:b]], np.uint64).view(np.int64)
             yield [*[c.slice(a, b - a) for c in batch.columns], pa.array(made)]
 
-    full = arrow_map(docs, T.StructType([*docs.schema.fields, T.StructField(mark, T.LongType())]), rows)
-    kept = full.join(wanted, full[id_col].eqNullSafe(wanted["chosen_id"]) & (full[mark] == wanted["chosen_bits"]), "left_semi")
-    return kept.dropDuplicates([id_col, mark]).drop(mark)
+    full = arrow_map(placed, T.StructType([*placed.schema.fields, T.StructField("bits", T.LongType())]), rows)
+    kept = full.join(wanted, full[own].eqNullSafe(wanted["chosen_id"]) & (full["bits"] == wanted["chosen_bits"]), "left_semi")
+    whole = F.struct(*placed.columns)
+    one = kept.groupBy(own, "bits").agg(F.min_by(whole, F.struct(F.col(f"c{at}"), F.to_json(whole))).alias("row"))
+    return one.select("row.*").toDF(*docs.columns)
