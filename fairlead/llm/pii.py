@@ -11,21 +11,27 @@ trained classifier says so:
 2. Votes of the whole corpus are counted by kind and pattern (Spark; at most a
    few hundred patterns, whatever the corpus), and expectation-maximisation
    estimates for each kind how often it is true and how reliable each labeler is.
-3. A logistic span classifier is trained on the posterior labels with the same
-   counts, and decides.
+3. A logistic classifier is trained on what stands in and around the spans (shapes
+   of their characters, their ends, words before and after), not on the votes; its
+   labels are the probabilities that the votes give. So it also knows spans on
+   which no labeler spoke. It reads the counts of different spans of the corpus, of
+   base spans and of added ones at most ``sample`` each, by the least hashes.
+4. Added spans with a probability of ``threshold`` or more are taken.
 
 Starts and ends count code points, ends are exclusive.
 
 Defined results: a null text is empty; repeated rows give repeated results; a
 null id is carried through; an empty table gives an empty one (nothing is
-trained then); further columns are ignored. Texts are read whole, and every
-search is linear in their length.
+trained then); further columns are ignored by the report and kept by ``redact``,
+also where their names clash. Texts are read whole, and every search is linear in
+their length.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -35,9 +41,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.components import settle
-from .textkit import arrow_map, keyed
+from .textkit import arrow_map, by_place, keyed, same_columns
 
 KINDS = ("email", "ip", "card", "phone")
+LOWER = "abcdefghijklmnopqrstuvwxyz"
 ABSTAIN, NO, YES = 0, 1, 2
 
 _local = re.compile(r"[A-Za-z0-9._%+-]")
@@ -46,7 +53,8 @@ _dotted = re.compile(r"[0-9]++(?:\.[0-9]++)*+")
 _chain = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _plus = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _digit = re.compile(r"[0-9]")
-_written = re.compile(r"([A-Za-z0-9._%+-]{1,64})( ?[\[(] ?at ?[\])] ?)([A-Za-z0-9-]{1,63}(?:(?:\.| ?[\[(] ?dot ?[\])] ?)[A-Za-z0-9-]{1,63}){1,8})", re.I)
+_at = re.compile(r"[\[(] ?at ?[\])]", re.I)
+_written = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++ ?[\[(] ?at ?[\])] ?[A-Za-z0-9-]++(?:(?:\.| ?[\[(] ?dot ?[\])] ?)[A-Za-z0-9-]++)++", re.I)
 _national = re.compile(r"(?<![0-9+.-])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9]|[.-][0-9])")
 _long_ip = re.compile(r"(?<![0-9A-Za-z:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Za-z:])")
 _word = re.compile(r"[a-zà-ÿ]+")
@@ -66,11 +74,13 @@ AGAINST = frozenset("build checksum id invoice isbn issn key order serial token
 
 @dataclass(frozen=True)
 class SpanRules:
-    """threshold: least probability of an added span; rounds: of EM; context: characters read before a span."""
+    """threshold: least probability of an added span; rounds: of EM; context: characters read before and after a
+    span; sample: bound of the different spans, of base and of added ones each, that the classifier is trained on."""
 
     threshold: float = 0.8
     rounds: int = 40
     context: int = 40
+    sample: int = 10_000
 
 
 def luhn(digits: str) -> bool:
@@ -130,8 +140,8 @@ def vote(kind: str, text: str, start: int, end: int, rules: SpanRules) -> tuple[
     span = text[start:end]
     digits = "".join(_digit.findall(span))
     if kind == "email":
-        top = span.rpartition(".")[2].lower().strip("-") if "." in span else re.split(r"[\])] ?", span.lower())[-1].strip()
-        form = YES if "@" in span and top.isalpha() and ".." not in span else ABSTAIN if "@" not in span else NO
+        top = re.split(r"\.|[\])] ?", span.lower())[-1].strip("-")
+        form = YES if top.isalpha() and ".." not in span else NO
         known = YES if top in TOP_DOMAINS else NO
     elif kind == "ip":
         parts = span.split(".")
@@ -141,8 +151,9 @@ def vote(kind: str, text: str, start: int, end: int, rules: SpanRules) -> tuple[
         form = YES if luhn(digits) else NO
         known = YES if digits.startswith(CARD_PREFIXES) else NO
     else:
-        form = YES if span.startswith("+") and len(digits) >= 10 else ABSTAIN
-        known = (YES if digits.startswith(CALLING_CODES) else NO) if span.startswith("+") else ABSTAIN
+        plus = span.startswith("+")
+        form = YES if plus and len(digits) >= 10 else ABSTAIN
+        known = YES if (digits.startswith(CALLING_CODES) if plus else min(digits[0], digits[3]) >= "2") else NO
     words = set(_word.findall(text[max(0, start - rules.context) : start].lower())[-6:])
     around = NO if words & AGAINST else YES if words & NEAR[kind] else ABSTAIN
     return form, known, around
@@ -166,7 +177,7 @@ def find(text: str, rules: SpanRules = SpanRules()) -> list[tuple[int, int, int,
     more: list[tuple[int, int, int]] = []
     if "@" in text:
         base += [(0, a, b) for a, b in emails(text)]
-    if ("at]" in text or "at)" in text or "AT]" in text or "AT)" in text) or "at ]" in text or "at )" in text:
+    if _at.search(text):
         more += [(0, m.start(), m.end()) for m in _written.finditer(text)]
     if _digit.search(text):
         base += [(1, a, b) for a, b in addresses(text)]
@@ -203,59 +214,90 @@ def reliabilities(counts: dict[int, int], rounds: int) -> dict[int, float]:
         weight = np.array([counts[c] for c in codes], float)
         belief = (1 + (votes == YES).sum(1)) / (2 + (votes != ABSTAIN).sum(1))
         for _ in range(rounds):
-            share = np.clip((weight * belief).sum() / weight.sum(), 1e-3, 1 - 1e-3)
+            share = ((weight * belief).sum() + weight.sum() / 2) / (2 * weight.sum())
             odds = np.full(len(codes), np.log(share) - np.log(1 - share))
             for j in range(3):
                 for v in (NO, YES):
                     own = votes[:, j] == v
                     spoke = votes[:, j] != ABSTAIN
-                    # A labeler is taken to be better than chance: a prior of eight right votes in ten.
-                    right = 8.0 if v == YES else 2.0
-                    true = (right + (weight * belief)[own].sum()) / (10 + (weight * belief)[spoke].sum())
-                    false = (10 - right + (weight * (1 - belief))[own].sum()) / (10 + (weight * (1 - belief))[spoke].sum())
+                    # A labeler is taken to be better than chance: a prior of eight right votes in ten, as heavy as the spans
+                    # themselves (like that of the share, of half), so that it also holds where labelers never disagree.
+                    prior = 10 + weight.sum()
+                    right = 0.8 if v == YES else 0.2
+                    true = (right * prior + (weight * belief)[own].sum()) / (prior + (weight * belief)[spoke].sum())
+                    false = ((1 - right) * prior + (weight * (1 - belief))[own].sum()) / (prior + (weight * (1 - belief))[spoke].sum())
                     odds[own] += np.log(true) - np.log(false)
             belief = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
         truth.update(zip(codes, belief.tolist()))
     return truth
 
 
-def design(code: int) -> np.ndarray:
-    kind, votes, size, _ = features(code)
-    x = np.zeros(1 + 4 + 4 + 4 * 9)
-    x[[0, 1 + kind, 5 + size]] = 1
-    for j, v in enumerate(votes):
-        x[9 + kind * 9 + j * 3 + v] = 1
-    return x
+#: Weights of the classifier: features fall into so many places by a hash.
+WIDTH = 512
+_runs = re.compile(r"0+|a+|A+")
+_shape = str.maketrans("0123456789" + LOWER + LOWER.upper(), "0" * 10 + "a" * 26 + "A" * 26)
 
 
-def train(counts: dict[int, int], rules: SpanRules) -> dict[int, float]:
-    """Probabilities of the final classifier for each pattern that occurs."""
-    if not counts:
-        return {}
-    truth = reliabilities(counts, rules.rounds)
-    codes = sorted(counts)
-    x, y = np.array([design(c) for c in codes]), np.array([truth[c] for c in codes])
-    weight = np.log1p(np.array([counts[c] for c in codes], float))
-    theta = np.zeros(x.shape[1])
-    for _ in range(50):  # Newton steps with a weak ridge
+def describe(kind: int, text: str, start: int, end: int, rules: SpanRules) -> list[int]:
+    """Places of the features of a span: its shape in pieces of three marks, its size and end, words before and after."""
+    span = text[start:end]
+    shape = "^" + _runs.sub(lambda m: m[0][0] + str(min(4, len(m[0]))), span[:256].translate(_shape)) + "$"
+    before = _word.findall(text[max(0, start - rules.context) : start].lower())[-4:]
+    after = _word.findall(text[end : end + rules.context].lower())[:2]
+    names = [f"size {min(12, len(span) // 4)}", f"first {shape[1:2]}", f"end {_word.findall(span.lower())[-1:]}" if kind == 0 else "", "bare" if not before else ""]
+    names += [f"shape {shape[k : k + 3]}" for k in range(len(shape) - 2)] + [f"before {w}" for w in before] + [f"after {w}" for w in after]
+    return sorted({0, 1 + kind, *[5 + zlib.crc32(f"{kind} {n}".encode()) % (WIDTH - 5) for n in names if n]})
+
+
+def fit(places: list[list[int]], labels: np.ndarray, weight: np.ndarray, rounds: int = 30) -> np.ndarray:
+    """Weights of a logistic classifier: Newton steps with a ridge. places: features of each row."""
+    x = np.zeros((len(places), WIDTH))
+    for k, own in enumerate(places):
+        x[k, own] = 1
+    theta = np.zeros(WIDTH)
+    for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ theta, -30, 30)))
-        slope = x.T @ (weight * (y - p)) - 0.1 * theta
-        curve = (x * (weight * p * (1 - p))[:, None]).T @ x + 0.1 * np.eye(len(theta))
+        slope = x.T @ (weight * (labels - p)) - theta
+        curve = (x * (weight * np.maximum(p * (1 - p), 1e-4))[:, None]).T @ x + np.eye(WIDTH)
         step = np.linalg.solve(curve, slope)
         theta += step
-        if np.abs(step).max() < 1e-9:
+        if np.abs(step).max() < 1e-6:
             break
-    return dict(zip(codes, (1 / (1 + np.exp(-np.clip(x @ theta, -30, 30)))).round(9).tolist()))
+    return theta.round(9)
+
+
+def probability(theta: np.ndarray, places: list[int]) -> float:
+    return float(1 / (1 + np.exp(-np.clip(theta[places].sum(), -30, 30))))
+
+
+def train(counts: dict[int, int], spans: list[tuple[int, list[int], int]], rules: SpanRules) -> np.ndarray:
+    """Weights of the final classifier. counts: of patterns, in the whole corpus; spans: (pattern, features, how often)."""
+    if not spans:
+        return np.zeros(WIDTH)
+    truth = reliabilities(counts, rules.rounds)
+    ordered = sorted((c, tuple(f), n) for c, f, n in spans)
+    return fit([list(f) for _, f, _ in ordered], np.array([truth[c] for c, _, _ in ordered]), np.log1p(np.array([n for *_, n in ordered], float)))
+
+
+def learnt(found: DataFrame, rules: SpanRules) -> np.ndarray:
+    """The classifier's weights, from rows with arrays ``patterns`` and ``places`` (features of each span)."""
+    each = found.select(F.explode(F.arrays_zip("patterns", "places")).alias("s")).select(F.col("s.patterns").alias("code"), F.col("s.places").alias("places"))
+    kinds = settle(each.groupBy("code", "places").agg(F.count("*").alias("n")))
+    counts = {r["code"]: r["n"] for r in kinds.groupBy("code").agg(F.sum("n").alias("n")).collect()}  # at most 864 rows
+    base = F.floor(F.col("code") / 108) == 1
+    picked = [r for own in (base, ~base) for r in kinds.where(own).orderBy(F.xxhash64("code", "places"), "code", "places").limit(rules.sample).collect()]
+    return train(counts, [(r["code"], r["places"], r["n"]) for r in picked], rules)
 
 
-def accepted(patterns: DataFrame, rules: SpanRules) -> frozenset[int]:
-    """Patterns of added spans, from rows with arrays ``patterns``."""
-    rows = patterns.select(F.explode("patterns").alias("code")).groupBy("code").count().collect()  # at most 864 rows
-    chance = train({r["code"]: r["count"] for r in rows}, rules)
-    return frozenset(c for c, p in chance.items() if features(c)[3] or p >= rules.threshold)
+FOUND = (
+    *[T.StructField(c, T.ArrayType(T.IntegerType())) for c in ("kinds", "starts", "ends", "patterns")],
+    T.StructField("places", T.ArrayType(T.ArrayType(T.IntegerType()))),
+)
 
 
-FOUND = (T.StructField("kinds", T.ArrayType(T.IntegerType())), T.StructField("starts", T.ArrayType(T.IntegerType())), T.StructField("ends", T.ArrayType(T.IntegerType())), T.StructField("patterns", T.ArrayType(T.IntegerType())))
+def described(text: str, rules: SpanRules) -> list[tuple]:
+    """What ``find`` gives, with features."""
+    return [(*s, describe(*s[:1], text, *s[1:3], rules)) for s in find(text, rules)]
 
 
 def candidates(docs: DataFrame, id_col: str, text_col: str, rules: SpanRules) -> DataFrame:
@@ -263,12 +305,17 @@ def candidates(docs: DataFrame, id_col: str, text_col: str, rules: SpanRules) ->
     chosen = keyed(docs, id_col, text_col)
 
     def rows(batch: pa.RecordBatch):
-        spans = [find(t or "", rules) for t in batch.column(1).to_pylist()]
-        yield [batch.column(0), *[[[s[j] for s in x] for x in spans] for j in range(4)]]
+        spans = [described(t or "", rules) for t in batch.column(1).to_pylist()]
+        yield [batch.column(0), *[[[s[j] for s in x] for x in spans] for j in range(5)]]
 
     return arrow_map(chosen, T.StructType([chosen.schema[id_col], *FOUND]), rows)
 
 
+def taken(spans: list[tuple], theta: np.ndarray, rules: SpanRules) -> list[tuple[int, int, int]]:
+    """Base spans, and added ones that the classifier takes, of (kind, start, end, pattern, features)."""
+    return [s[:3] for s in spans if features(s[3])[3] or probability(theta, s[4]) >= rules.threshold]
+
+
 def shown(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for k, a, b in sorted(spans, key=lambda x: (x[1], x[0], x[2])))
 
@@ -279,17 +326,17 @@ REPORT = (*[T.StructField(f"n_{k}", T.LongType()) for k in KINDS], T.StructField
 def pii_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: SpanRules = SpanRules()) -> DataFrame:
     """Counts of base kinds, a digest of base spans, and all spans of each row. Texts are read once."""
     found = settle(candidates(docs, id_col, text_col, rules))
-    good = accepted(found, rules)
+    theta = learnt(found, rules)
 
     def rows(batch: pa.RecordBatch):
         out: list[list] = [[] for _ in REPORT]
-        for spans in zip(*[batch.column(j).to_pylist() for j in range(1, 5)]):
+        for spans in zip(*[batch.column(j).to_pylist() for j in range(1, 6)]):
             every = list(zip(*spans))
-            base = [(k, a, b) for k, a, b, c in every if features(c)[3]]
+            base = [s[:3] for s in every if features(s[3])[3]]
             for j in range(len(KINDS)):
                 out[j].append(sum(k == j for k, _, _ in base))
             out[-2].append(hashlib.sha256(shown(base).encode()).hexdigest())
-            out[-1].append(shown([(k, a, b) for k, a, b, c in every if c in good]))
+            out[-1].append(shown(taken(every, theta, rules)))
         yield [batch.column(0), *out]
 
     return arrow_map(found, T.StructType([found.schema[0], *REPORT]), rows)
@@ -306,17 +353,20 @@ def masked(text: str, spans: list[tuple[int, int, int]]) -> str:
 
 
 def redact(docs: DataFrame, text_col: str = "text", length_col: str | None = "n_chars", rules: SpanRules = SpanRules()) -> DataFrame:
-    """``docs`` with personal data replaced by ``<KIND>``; ``length_col``, if there is one, gets the new length."""
+    """``docs`` with personal data replaced by ``<KIND>``; ``length_col``, if there is one, gets the new length.
+
+    A null text stays null; repeated rows change alike; an empty table gives an empty one.
+    """
     names = docs.columns
     at = names.index(text_col)
     measured = names.index(length_col) if length_col in names else -1
-    good = accepted(_patterns(docs, text_col, rules), rules)
+    theta = learnt(_patterns(by_place(docs).select(F.col(f"c{at}").alias("text")), rules), rules)
 
     def rows(batch: pa.RecordBatch):
         texts = batch.column(at).to_pylist()
         fresh = []
         for t in texts:
-            spans = [s[:3] for s in find(t, rules) if s[3] in good] if t else []
+            spans = taken(described(t, rules), theta, rules) if t else []
             fresh.append(masked(t, spans) if spans else t)
         columns = list(batch.columns)
         columns[at] = fresh
@@ -324,11 +374,12 @@ def redact(docs: DataFrame, text_col: str = "text", length_col: str | None = "n_
             columns[measured] = [old if new is was else len(new) for new, was, old in zip(fresh, texts, columns[measured].to_pylist())]
         yield columns
 
-    return arrow_map(docs, docs.schema, rows)
+    return same_columns(docs, rows)
 
 
-def _patterns(docs: DataFrame, text_col: str, rules: SpanRules) -> DataFrame:
+def _patterns(texts: DataFrame, rules: SpanRules) -> DataFrame:
     def rows(batch: pa.RecordBatch):
-        yield [[[s[3] for s in find(t or "", rules)] for t in batch.column(0).to_pylist()]]
+        spans = [described(t or "", rules) for t in batch.column(0).to_pylist()]
+        yield [[[s[j] for s in x] for x in spans if x] for j in (3, 4)]
 
-    return arrow_map(keyed(docs, text_col), T.StructType([FOUND[3]]), rows)
+    return arrow_map(texts, T.StructType([*FOUND[3:]]), rows)

@@ -127,21 +127,33 @@ def brute_contamination(text, items):
     return len(words), len(hit), len(found), hashlib.sha256(",".join(sorted(map(str, found))).encode()).hexdigest()
 
 
-@pytest.mark.parametrize("block_bytes", [1, 1 << 20])
-def test_contamination_random(spark, block_bytes):
+@pytest.mark.parametrize("map_bytes", [1, 1 << 20])
+def test_contamination_random(spark, map_bytes):
     draw = np.random.default_rng(4)
     word = lambda n: " ".join(draw.choice(["A", "b", "c1", "Ü"], n))
     items = [(k, word(draw.integers(0, 14))) for k in range(12)] + [(50, None), (51, "b c1"), (52, "?!")]
     texts = [word(draw.integers(0, 120)).replace(" ", draw.choice([" ", ", ", "-"])) for _ in range(40)] + [items[3][1] + " x " + items[5][1], None, ""]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     bench = spark.createDataFrame(items, "item_id long, text string")
-    got = {r["doc_id"]: tuple(r)[1:5] for r in decontam.contamination_report(docs, bench, block_bytes=block_bytes).collect()}
+    got = {r["doc_id"]: tuple(r)[1:5] for r in decontam.contamination_report(docs, bench, map_bytes=map_bytes).collect()}
     for k, t in enumerate(texts):
         assert got[k] == brute_contamination(t or "", items)
-    clean = {r["doc_id"] for r in decontam.decontaminate(docs, bench, block_bytes=block_bytes).collect()}
+    clean = {r["doc_id"] for r in decontam.decontaminate(docs, bench, map_bytes=map_bytes).collect()}
     assert clean == {k for k in got if got[k][1] == 0}
 
 
+def test_contamination_joined_as_where_the_documents_are(spark, docs):
+    """A benchmark of pages' worth of text, more than one task would be sent, against copies, odd rows and a hot text."""
+    whole = docs.select("doc_id", "text")
+    many = whole.union(whole).union(spark.range(2000).selectExpr("id + 100000", "'one two three four five six seven eight nine ten eleven'"))
+    bench = spark.read.parquet(f"{SMALL}/benchmark.parquet").union(whole.where("doc_id % 3 = 0")).union(spark.createDataFrame([(7, "four five"), (None, "two three four"), (8, None), (9, "!")], "item_id long, text string"))
+    near = decontam.contamination_report(many, bench, map_bytes=1 << 40).groupBy("doc_id", "n_words", "n_hit", "n_items", "items_sha256").count()
+    far = decontam.contamination_report(many, bench, map_bytes=0).groupBy("doc_id", "n_words", "n_hit", "n_items", "items_sha256").count()
+    assert sorted(map(tuple, near.collect())) == sorted(map(tuple, far.collect()))
+    left = [sorted(r["doc_id"] for r in decontam.decontaminate(many, bench, map_bytes=m).collect()) for m in (0, 1 << 40)]
+    assert left[0] == left[1]
+
+
 def test_nothing_to_clean_against(spark, docs):
     assert decontam.contamination_report(docs, spark.createDataFrame([], "item_id long, text string")).where("contaminated").count() == 0
 
@@ -211,6 +223,36 @@ def test_keep_one(spark):
     assert [r["doc_id"] for r in simhash.keep_one(unique).collect()] == [2]
 
 
+def test_keep_one_does_not_pick_at_random(spark):
+    rows = [(1, "a b c", 3), (1, "A b c", 2), (1, "a b c", 1), (1, "a b c", 1)]
+    for parts in (1, 3):
+        kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string, extra int").repartition(parts)).collect()
+        assert [tuple(r) for r in kept] == [(1, "A b c", 2)]
+
+
+STAGES = {
+    "quality": quality.quality_filter,
+    "dedup": simhash.keep_one,
+    "decontam": lambda d: decontam.decontaminate(d, d.sparkSession.createDataFrame([(1, "nothing like it in any of them")], "item_id long, text string")),
+    "decontam joined": lambda d: decontam.decontaminate(d, d.sparkSession.createDataFrame([(1, "nothing like it in any of them")], "item_id long, text string"), map_bytes=0),
+    "pii": pii.redact,
+}
+
+
+@pytest.mark.parametrize("name", sorted(STAGES))
+def test_stages_with_clashing_names_long_and_repeated_rows(spark, name):
+    good = "The council met on Tuesday to discuss the plans for the old harbour, and many people came to listen and to speak."
+    long = " ".join(f"wort{k} und{k}" for k in range(4000))
+    rows = [(1, good, 0, "A", "x"), (2, None, 0, "B", None), (3, "", 0, None, "x"), (4, long, 0, "C", "x"), (4, long, 0, "C", "x"), (None, good + " Then they left for home.", 0, "D", "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long, TEXT string, Doc_Id string").toDF("doc_id", "text", "n_chars", "TEXT", "DOC_ID")
+    out = STAGES[name](docs)
+    assert out.columns == docs.columns
+    got = [tuple(r) for r in out.collect()]
+    assert {(r[0], r[3], r[4]) for r in got} <= {(r[0], r[3], r[4]) for r in rows} and (1, "A", "x") in {(r[0], r[3], r[4]) for r in got}
+    assert sum(r[0] == 4 for r in got) == (1 if name == "dedup" else 2) and all(len(r[1]) > 40000 for r in got if r[0] == 4)
+    assert STAGES[name](docs.where("false")).count() == 0
+
+
 # BPE
 
 
@@ -281,6 +323,44 @@ def test_classifier_takes_what_labelers_agree_on(spark):
     assert clean["text"] == "call my phone <PHONE> now" and clean["n_chars"] == len(clean["text"])
 
 
+def test_planted_spans_are_added_and_decoys_are_not(spark, texts):
+    """Personal data without a base form, planted among the corpus, and numbers of the same form that are none."""
+    draw = np.random.default_rng(12)
+    digits = lambda n: "".join(map(str, draw.integers(2, 9, n)))
+    made, truth = [], {}
+    plain = [t[:300] for t in texts.values() if t]
+    for k in range(600):
+        number = f"{digits(3)}-{digits(3)}-{digits(4)}"
+        mail = f"{draw.choice(['anna', 'b.kovac', 'li_wei', 'x99'])}{digits(2)} [at] {draw.choice(['mail', 'my-post', 'web'])} [dot] {draw.choice(['com', 'org', 'de'])}"
+        span, lead, kind, good = [
+            (number, draw.choice(["call my phone", "Tel", "mobile", "fax"]) + " ", "phone", True),
+            (mail, draw.choice(["write to", "email", "contact"]) + " ", "email", True),
+            (number, draw.choice(["invoice", "order", "serial", "token"]) + " ", "phone", False),
+            ("4" + digits(15), draw.choice(["checksum", "build", "id"]) + " ", "card", False),
+        ][k % 4]
+        if kind == "card" and pii.luhn(span):
+            continue
+        head = plain[k % len(plain)].rsplit(" ", 1)[0].rstrip("+0123456789 .-") + ". " + lead
+        made.append((k, head + span + " for more."))
+        truth[k] = (f"{kind}:{len(head)}:{len(head) + len(span)}", good)
+    rows = {r["doc_id"]: r["spans"].split(",") for r in pii.pii_report(spark.createDataFrame(made, "doc_id long, text string")).collect()}
+    good = [shown in rows[k] for k, (shown, g) in truth.items() if g]
+    bad = [shown in rows[k] for k, (shown, g) in truth.items() if not g]
+    assert np.mean(good) > 0.95 and np.mean(bad) < 0.05
+
+
+def test_written_addresses_of_any_length_and_case():
+    long = "a" * 80
+    for text, span in ((f"mail {long} [at] x [dot] com now", f"{long} [at] x [dot] com"), ("bob [At] example [dot] com", "bob [At] example [dot] com"), ("x bob(AT)mail.example.org!", "bob(AT)mail.example.org"), ("p [at] " + "a." * 20 + "de", "p [at] " + "a." * 20 + "de")):
+        (found,) = [text[a:b] for k, a, b, _ in pii.find(text) if k == 0]
+        assert found == span
+    import time
+
+    start = time.time()
+    pii.find("a" * 300_000 + " [at] " + "b" * 300_000 + "[at]" * 50_000 + "1" * 200_000 + "+1" * 100_000 + "a@" * 100_000)
+    assert time.time() - start < 20
+
+
 # Chat
 
 

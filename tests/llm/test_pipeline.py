@@ -22,14 +22,16 @@ def plain(rows, items):
     classes = brute_classes([(i, brute_fingerprint(t)) for i, t in rows])
     rows = [(i, t) for i, t in rows if classes[i] == i]
     rows = [(i, t) for i, t in rows if not brute_contamination(t, items)[1]]
-    counts = {}
+    rules = pii.SpanRules()
+    counts, spans = {}, {}
     for _, t in rows:
-        for *_, c in pii.find(t):
-            counts[c] = counts.get(c, 0) + 1
-    chance = pii.train(counts, pii.SpanRules())
+        for *_, code, places in pii.described(t, rules):
+            counts[code] = counts.get(code, 0) + 1
+            spans[code, tuple(places)] = spans.get((code, tuple(places)), 0) + 1
+    theta = pii.train(counts, [(c, list(p), n) for (c, p), n in spans.items()], rules)
     out = {}
     for i, t in rows:
-        clean = pii.masked(t, [s[:3] for s in pii.find(t) if pii.features(s[3])[3] or chance[s[3]] >= 0.8])
+        clean = pii.masked(t, pii.taken(pii.described(t, rules), theta, rules))
         ids = tool.encode(clean, add_special_tokens=False).ids
         out[i] = (ids, tool.decode(ids, skip_special_tokens=False))
     return out
