@@ -611,9 +611,82 @@ def test_no_article_text_is_left_outside():
     words = "It was a long and quiet day at the river. " * 20
     page = f'<body><div class="post"><h1><a href=x>Title</a></h1><p>lead</p><div class="entry"><p>{words}</p></div><p>The end.</p></div><footer>foot</footer></body>'
     assert html_extract.main_text(page, None) == f"Title\nlead\n{words.strip()}\nThe end."
-    assert html_extract.vote(page) == "html/body/div.post"
+    assert html_extract.vote(page) == [("html/body/div.post", 0, 0)]
     assert html_extract.main_text(page, "html/body/div.post/div.entry") == f"Title\nlead\n{words.strip()}\nThe end."
     header = f'<body><div class="post"><header><h1>Title</h1></header><div class="entry"><p>{words}</p></div></div></body>'
     assert html_extract.main_text(header, None) == f"Title\n{words.strip()}"
     parts = f'<body><div id=w><div class="part1"><p>{words}</p></div><div class="part2"><p>Other {words}</p></div></div></body>'
     assert html_extract.main_text(parts, "html/body/div/div.part") == f"{words.strip()}\nOther {words.strip()}"
+
+
+def test_article_text_that_looks_like_a_frame_stays():
+    words = "It was a long and quiet day at the river. " * 5
+    for inside in ('<p title="a hidden gem">kept</p>', '<div class="related-work"><p>kept</p></div>', '<div class="reply-to-critics">kept</div>', "<p><math><mi>kept</mi></math></p>", '<div class="ad-hoc">kept</div>', '<p id="respondents">kept</p>'):
+        assert html_extract.main_text(f"<body><article><h1>T</h1><p>{words}</p>{inside}</article></body>", None) == f"T\n{words.strip()}\nkept"
+    lead = f"<body><header>Site</header><article><header><p>The lead.</p></header><p>{words}</p></article></body>"
+    assert html_extract.main_text(lead, None) == f"The lead.\n{words.strip()}"
+    for gone in ('<div class="related-posts">x</div>', '<div class="comment-list2">x</div>', '<div id="reply_form">x</div>', '<div class="google-ad">x</div>', '<div class="sponsored">x</div>'):
+        assert html_extract.main_text(f"<body><div class=post><h1>T</h1><p>{words}</p>{gone}</div></body>", None) == f"T\n{words.strip()}"
+
+
+def test_close_tags_take_linear_time():
+    import time
+
+    start = time.time()
+    for page in ("<span>" * 30_000 + "</i>" * 30_000, "<i><table><td>" + "<span>" * 30_000 + "</i>" * 30_000, "<span>" * 30_000 + "<p>" * 30_000, "<ul>" + "<b>" * 30_000 + "<li>" * 30_000, "<header>" * 3_000 + "x" + "<p>y" * 3_000):
+        html_extract.main_text(page, None)
+    assert time.time() - start < 30
+
+
+FURNITURE = '<div class="zq"><p>Our shop is open from nine to five on all days.</p></div>'
+
+
+def story(k: int, furniture: str = FURNITURE) -> str:
+    words = " ".join(f"word{k * 31 + j}" for j in range(60))
+    return f"<body><div class=w><div class=story{k}><h1>Title {k}</h1><p>{words}</p></div>{furniture}</div></body>"
+
+
+def test_the_host_path_gets_right_what_a_page_alone_does_not(spark):
+    rows = [(k, "https://h.example/a", story(k)) for k in range(5)]
+    rows += [(5, "https://h.example/a", story(5, "")), (6, "https://h.example/a", story(6, "<div class=zq><p>These are the last words of the article.</p></div>"))]
+    rows += [(7, "https://h.example/a", story(2)), (8, "https://lone.example/a", story(8)), (9, "https://two.example/", story(9)), (10, "https://two.example/", story(9))]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html_extract.extract(frame).collect()}
+    plain = {k: html_extract.main_text(story(k, ""), None) for k in range(11)}
+    alone = html_extract.main_text(story(0), None)
+    assert alone.endswith("on all days.") and got[0] == plain[0] and got[0] in alone  # rescued by the host's path
+    assert [got[k] for k in range(6)] == [plain[k] for k in range(6)] and got[7] == plain[2]
+    assert got[6] == plain[6] + "\nThese are the last words of the article."  # nothing but furniture is left out
+    assert got[8] == plain[8] + "\nOur shop is open from nine to five on all days." and got[9] == got[10] != plain[9]  # no evidence
+
+
+def test_random_pages_without_an_article():
+    """Pages made together with the text that should come out."""
+    draw = np.random.default_rng(5)
+    word = lambda n: " ".join(f"w{x}" for x in draw.integers(0, 999, n))
+    frames = ["<nav><ul><li><a href=x>Home</a><li>More</ul></nav>", "<div class=menu><a href=x>Home</a></div>", "<aside><p>Look</p></aside>", '<div class="ad top">Buy</div>', '<div id="cookie-notice"><p>We use them</p></div>', "<form>ask <input></form>", "<script>var x='<p>no</p>'</script>", "<style>p{}</style>", "<div class=comments><p>I say</p></div>", "<!-- <p>no</p> -->"]
+    for _ in range(150):
+        parts, truth = [f"<h1>{(title := word(4))}</h1>"], [title]
+        for _ in range(draw.integers(2, 9)):
+            kind, a, b = draw.integers(0, 7), word(draw.integers(3, 30)), word(draw.integers(1, 9))
+            made = [(f"<p>{a}", [a]), (f"<p>{a} <b>{b}</b>&amp;</p>", [f"{a} {b}&"]), (f"<ul><li>{a}<li>{b}</ul>", [a, b]), (f"<blockquote><p>{a}</blockquote>", [a]), (f"<div class=part><h2>{b}</h2><p>{a}</div>", [b, a]), (f"<table><tr><td>{a}<td>{b}</table>", [a, b]), (f"<div class=related-work><pre>{a}\n{b}</pre></div>", [f"{a} {b}"])][kind]
+            parts.append(made[0])
+            truth += made[1]
+            if draw.random() < 0.3:
+                parts.append(str(draw.choice(frames)))
+        body = "\n".join(parts)
+        for k in range(draw.integers(0, 4)):
+            outside = [str(draw.choice(frames)), str(draw.choice(frames))]
+            tag = ["div", "section", "main"][draw.integers(0, 2 + (k == 0))]
+            body = f"{outside[0]}<{tag} class=c{k}>{body}</{tag}>{outside[1]}"
+        head = ["<!doctype html><head><title>t</title>", "<html><head><title>t</title></head>", ""][draw.integers(0, 3)]
+        assert html_extract.main_text(f"{head}<body><header>Site</header>{body}<footer>foot</footer></body>", None) == "\n".join(truth)
+
+
+def test_odd_tables_of_pages(spark):
+    long = "<body><article><h1>T</h1>" + "<p>many words</p>" * 60_000 + "</article></body>"
+    rows = [(1, "http://a.b/", "<p>x</p>", "n", 3), (1, "http://a.b/", "<p>x</p>", "n", 3), (None, None, long, None, 4), (3, "u", None, "n", 5)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, host string, HTML2 int").toDF("page_id", "url", "html", "host", "HTML")
+    got = html_extract.extract(pages).collect()
+    assert sorted((r["page_id"] or 0, r["n_chars"]) for r in got) == [(0, 1 + 60_000 * 11), (1, 1), (1, 1), (3, 0)]
+    assert html_extract.extract(pages.where("false")).count() == 0
