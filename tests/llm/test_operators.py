@@ -405,7 +405,7 @@ def test_chat_is_native(spark):
 
 def test_forward_sums_all_segmentations():
     pieces = ["▁", "a", "b", "ab", "▁a", "ba", "▁ab"]
-    lattice = language_id.Lattice(pieces, 3)
+    lattice = language_id.Lattice(pieces)
     chance = language_id.normalised(np.random.default_rng(1).random((9, 2)), 0.1)
 
     def total(word, g):
@@ -426,12 +426,31 @@ def test_forward_sums_all_segmentations():
 
 
 def test_long_words_do_not_underflow():
-    lattice = language_id.Lattice(["▁", "a", "aa"], 2)
+    lattice = language_id.Lattice(["▁", "a", "aa"])
     chance = language_id.normalised(np.ones((5, 2)), 0)
     long, short = lattice.scores(["a" * 3000, "a"], chance)
     assert np.isfinite(long).all() and long[0] < -500 < short[0]
 
 
+def test_long_words_and_long_pieces_teach(spark):
+    pieces = language_id.public_pieces(queries.vocabulary("piece_bpe_32k.model"))
+    assert max(map(len, pieces)) > 8
+    assert "".join(language_id.word_blocks("日本" * 100, 64)) == "▁" + "日本" * 100 and max(map(len, language_id.word_blocks("日本" * 100, 64))) == 64
+    rows = [(k, ("日本語の文章" if k % 2 else "中国的文字") * (40 + k), "ja" if k % 2 else "zh") for k in range(60)] + [(100, "文章の日本", None), (101, "文字中国的", None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r["lang_pred"] for r in language_id.identify(frame, queries.vocabulary("piece_bpe_32k.model")).collect()}
+    assert all(got[k] == ("ja" if k % 2 else "zh") for k in range(60)) and (got[100], got[101]) == ("ja", "zh")
+
+
+def test_expectation_in_spark_equals_one_lattice(spark):
+    pieces = ["▁", "a", "b", "ab", "▁a", "ba", "▁ab", "abab", "bb"]
+    words = ["▁a", "▁abab", "baab", "▁" + "ab" * 20, "▁xa"]
+    frame = spark.createDataFrame([(w, [(k % 2, k + 1), (1, 2)] if k % 2 == 0 else [(1, 3)]) for k, w in enumerate(words)], "word string, uses array<struct<tongue:int,n:long>>")
+    chance = language_id.normalised(np.random.default_rng(2).random((11, 2)), 0.1)
+    counts = np.array([[1, 2], [0, 3], [3, 2], [0, 3], [5, 2]], float)
+    assert np.allclose(language_id.piece_sums(frame.repartition(3), pieces, chance), language_id.Lattice(pieces).expected(words, counts, chance, ""))
+
+
 def test_language_of_held_out_rows(spark):
     folder = "/root/testdata/sf0.01"
     docs = spark.read.parquet(f"{folder}/documents.parquet")
