@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .textkit import arrow_map, blocks, keyed, utf8
+from .textkit import arrow_map, blocks, keyed, spread, utf8
 
 #: A cut falls after a byte where the low bits of the hash are zero: chunks of about 2**CUT_BITS bytes.
 CUT_BITS = 9
@@ -264,7 +264,7 @@ def encoder(path: str, memory_bytes: int = MEMORY_BYTES, bits: int = CUT_BITS) -
 
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, ids, decoded): token ids of each text and the text they stand for."""
-    chosen = keyed(docs, id_col, text_col)
+    chosen = spread(keyed(docs, id_col, text_col))
     schema = T.StructType([chosen.schema[id_col], T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())])
 
     def rows(batch: pa.RecordBatch):
@@ -281,7 +281,7 @@ DIGEST = (T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T
 
 def digest(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Number of ids, and digests of the ids and of the decoded text."""
-    chosen = keyed(docs, id_col, text_col)
+    chosen = spread(keyed(docs, id_col, text_col))
 
     def rows(batch: pa.RecordBatch):
         texts, tool = utf8(batch.column(1)), encoder(path)

@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.components import settle
-from .textkit import arrow_map, blocks, by_place, keyed, mix, powers, same_columns, utf8
+from .textkit import arrow_map, blocks, by_place, keyed, mix, powers, same_columns, spread, utf8
 
 WINDOW, GRAM = 10, 6
 SLIDE = WINDOW - GRAM + 1
@@ -272,7 +272,7 @@ REPORT = T.StructType(
 def contamination_report(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", map_bytes: int = MAP_BYTES) -> DataFrame:
     """For each document its words, hit words and the benchmark items found in it."""
     items, size = items_of(benchmark, item_col, text_col)
-    chosen = keyed(docs, id_col, text_col)
+    chosen = spread(keyed(docs, id_col, text_col))
     if size > map_bytes:
         windows = settle(benchmark_windows(items))
         held = settle(candidates(chosen, windows))

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.components import settle
-from .textkit import arrow_map, keyed
+from .textkit import arrow_map, keyed, spread
 
 # Elements by their part in a page, and words in class names and ids.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -441,7 +441,7 @@ TEXTS = 3
 
 def winners(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(host, path, furniture): the path with most votes on each host; of equal ones the deepest, then the first."""
-    chosen = keyed(pages, url_col, html_col).select(host(url_col).alias("host"), F.col(html_col).alias("html"))
+    chosen = spread(keyed(pages, url_col, html_col)).select(host(url_col).alias("host"), F.col(html_col).alias("html"))
     schema = T.StructType([T.StructField("host", T.StringType()), T.StructField("path", T.StringType()), T.StructField("outside", T.LongType()), T.StructField("inside", T.LongType())])
 
     def rows(batch: pa.RecordBatch):
@@ -464,7 +464,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     them; beyond that pages and paths are joined by a shuffle.
     """
     paths = settle(winners(pages, url_col, html_col))
-    chosen = keyed(pages, id_col, url_col, html_col).withColumn("host of page", host(url_col))
+    chosen = spread(keyed(pages, id_col, url_col, html_col)).withColumn("host of page", host(url_col))
     paths = paths.select(F.col("host").alias("host of page"), F.col("path").alias("path of host"), F.col("furniture").alias("furniture of host"))
     if paths.count() <= broadcast_hosts:
         paths = F.broadcast(paths)

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.components import settle
-from .textkit import arrow_map, blocks, keyed, mix, powers, span_hashes
+from .textkit import arrow_map, blocks, keyed, mix, powers, span_hashes, spread
 
 UNDETERMINED = "und"
 MARK = "▁"
@@ -239,7 +239,7 @@ def in_training(id_col: str) -> Column:
 
 def train(docs: DataFrame, pieces: list[str], id_col: str, text_col: str, lang_col: str, rules: LanguageRules) -> tuple[list[str], np.ndarray]:
     """Languages and their piece probabilities."""
-    labelled = keyed(docs, id_col, text_col, lang_col).where(in_training(id_col) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
+    labelled = spread(keyed(docs, id_col, text_col, lang_col)).where(in_training(id_col) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     sizes = settle(labelled.groupBy(lang_col).agg(F.count("*").alias("rows of language")))
     languages = sorted(r[0] for r in sizes.collect())  # the columns of the model
     if not languages:
@@ -293,7 +293,7 @@ def identify(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col:
     pieces = public_pieces(vocabulary)
     languages, chance = train(docs, pieces, id_col, text_col, lang_col, rules)
     model = docs.sparkSession.sparkContext.broadcast((pieces, languages, chance))  # at most pieces x languages numbers
-    chosen = keyed(docs, id_col, text_col).withColumn("held_out", F.coalesce(~in_training(id_col), F.lit(False)))
+    chosen = spread(keyed(docs, id_col, text_col)).withColumn("held_out", F.coalesce(~in_training(id_col), F.lit(False)))
     schema = T.StructType([chosen.schema[id_col], T.StructField("held_out", T.BooleanType()), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .textkit import arrow_map, keyed
+from .textkit import arrow_map, keyed, spread
 
 # Sentences of well-known licence texts and notices, by identifier.
 SENTENCES = {
@@ -133,7 +133,7 @@ def licences(found: list[tuple[int, str]], gap: int = 6) -> list[str]:
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_sentences, sentence_ids, licences): what is recognised in each text."""
-    chosen = keyed(docs, id_col, text_col)
+    chosen = spread(keyed(docs, id_col, text_col))
     text = T.StringType()
     schema = T.StructType([chosen.schema[id_col], T.StructField("n_sentences", T.LongType()), T.StructField("sentence_ids", text), T.StructField("licences", text)])
 

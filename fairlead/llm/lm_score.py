@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.components import settle
-from .textkit import arrow_map, blocks, keyed, mix, utf8
+from .textkit import arrow_map, blocks, keyed, mix, spread, utf8
 
 CLASSES = 16
 
@@ -82,7 +82,7 @@ def frequencies(docs: DataFrame, text_col: str, rules: LmRules) -> DataFrame:
         if counts:
             yield out()
 
-    return keyed(docs, text_col).mapInArrow(run, schema).groupBy("word").agg(F.sum("n").alias("n"))
+    return spread(keyed(docs, text_col)).mapInArrow(run, schema).groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def kind(word: str = "word"):
@@ -294,7 +294,7 @@ def train(docs: DataFrame, text_col: str, rules: LmRules, counted: Words | None
     size = counted.size
     bias = np.log(counted.totals + 1)
     weights = Network(size, rules, bias - bias.mean()).flat()
-    texts = keyed(docs, text_col)
+    texts = spread(keyed(docs, text_col))
     schema = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("w", T.ArrayType(T.FloatType())), T.StructField("n", T.LongType())])
     held = lookup(counted)
     width = 1024
@@ -325,7 +325,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules
     """(id, n_tokens, log_prob, mean_log_prob): the pseudo-log-likelihood of each text, and for each of its words."""
     counted = count_words(docs, text_col, rules)
     _, weights = train(docs, text_col, rules, counted)
-    chosen = keyed(docs, id_col, text_col)
+    chosen = spread(keyed(docs, id_col, text_col))
     shared = docs.sparkSession.sparkContext.broadcast((lookup(counted), weights))
     schema = T.StructType([T.StructField("id", chosen.schema[id_col].dataType), T.StructField("n_tokens", T.LongType()), T.StructField("held", T.DoubleType()), T.StructField("away", T.ArrayType(T.BinaryType()))])
     size = counted.size

@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.components import settle
-from .textkit import arrow_map, by_place, keyed, same_columns
+from .textkit import arrow_map, by_place, keyed, same_columns, spread
 
 KINDS = ("email", "ip", "card", "phone")
 LOWER = "abcdefghijklmnopqrstuvwxyz"
@@ -302,7 +302,7 @@ def described(text: str, rules: SpanRules) -> list[tuple]:
 
 def candidates(docs: DataFrame, id_col: str, text_col: str, rules: SpanRules) -> DataFrame:
     """Base spans and candidates of each row."""
-    chosen = keyed(docs, id_col, text_col)
+    chosen = spread(keyed(docs, id_col, text_col))
 
     def rows(batch: pa.RecordBatch):
         spans = [described(t or "", rules) for t in batch.column(1).to_pylist()]
@@ -360,7 +360,7 @@ def redact(docs: DataFrame, text_col: str = "text", length_col: str | None = "n_
     names = docs.columns
     at = names.index(text_col)
     measured = names.index(length_col) if length_col in names else -1
-    theta = learnt(_patterns(by_place(docs).select(F.col(f"c{at}").alias("text")), rules), rules)
+    theta = learnt(_patterns(by_place(spread(docs)).select(F.col(f"c{at}").alias("text")), rules), rules)
 
     def rows(batch: pa.RecordBatch):
         texts = batch.column(at).to_pylist()

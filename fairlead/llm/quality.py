@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .textkit import arrow_map, blocks, keyed, mix, same_columns, utf8
+from .textkit import arrow_map, blocks, keyed, mix, same_columns, spread, utf8
 
 # Phrases of lines that a page's frame puts into a text, lower case.
 BOILERPLATE = (
@@ -173,7 +173,7 @@ SCHEMA = T.StructType(
 
 def quality_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: QualityRules = QualityRules()) -> DataFrame:
     """A row of measures and the verdict for each row of ``docs``. Narrow: no shuffle."""
-    chosen = keyed(docs, id_col, text_col)
+    chosen = spread(keyed(docs, id_col, text_col))
     schema = T.StructType([chosen.schema[id_col], *SCHEMA.fields])
 
     def rows(batch: pa.RecordBatch):

@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.components import components, settle
-from .textkit import arrow_map, blocks, by_place, keyed, utf8
+from .textkit import arrow_map, blocks, by_place, keyed, spread, utf8
 
 SEED = 42
 SHINGLE = 3
@@ -69,7 +69,7 @@ def fingerprint(text: bytes) -> int:
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, bits): a signed 64-bit fingerprint for each row."""
-    chosen = keyed(docs, id_col, text_col)
+    chosen = spread(keyed(docs, id_col, text_col))
 
     def rows(batch: pa.RecordBatch):
         texts = utf8(batch.column(1))

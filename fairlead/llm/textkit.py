@@ -22,10 +22,21 @@ def keyed(df: DataFrame, *columns: str) -> DataFrame:
     found = {}
     for k, name in enumerate(df.columns):
         found.setdefault(name, k)
-    if len(set(df.columns)) == len(df.columns) and len({c.lower() for c in df.columns}) == len(df.columns):
+    if len({c.lower() for c in df.columns}) == len(df.columns):
         return df.select(*columns)
-    renamed = df.toDF(*[f"c{k}" for k in range(len(df.columns))])
-    return renamed.select(*[F.col(f"c{found[c]}").alias(c) for c in columns])
+    return by_place(df).select(*[F.col(f"c{found[c]}").alias(c) for c in columns])
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt to all cores where a scan gives fewer partitions than there are, as of one small file.
+
+    Plans with an exchange stay as they are: their partitions are the planner's, and asking for them would run it.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    plan = df._jdf.queryExecution()
+    if "Exchange" in plan.executedPlan().toString() or plan.toRdd().getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores)
 
 
 def utf8(column: pa.Array) -> list[bytes]:
@@ -61,7 +72,7 @@ def arrow_map(df: DataFrame, schema: T.StructType, rows: Callable[[pa.RecordBatc
 
 def same_columns(df: DataFrame, rows: Callable[[pa.RecordBatch], Iterator[list]]) -> DataFrame:
     """``arrow_map`` that keeps the columns of ``df``, whatever their names: inside they go by their places."""
-    placed = by_place(df)
+    placed = by_place(spread(df))
     return arrow_map(placed, placed.schema, rows).toDF(*df.columns)
 
 
