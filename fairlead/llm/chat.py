@@ -1,45 +1,54 @@
 """Chat formatting in budgeted windows, with DataFrame functions only.
 
-Each turn is written as ``<|im_start|>role\\ntext<|im_end|>\\n``. Prefix sums of
-the turns' tokens choose windows: turns are taken in order as long as they fit
-the budget, a window starts with the system turn and with as many earlier turns
-as the history allowance holds, and only turns that are new in a window are
-targets. So each assistant text is under the loss mask exactly once.
-
-A control string in a text is escaped by one more backslash between ``<`` and
-``|``; taking one away restores it. Roles are written as in a URL.
-
-Tokens of a turn are estimated as its written characters divided by
-``chars_per_token``, rounded up, so that no tokenizer is needed. A turn larger
-than the budget is a window of its own, uncut.
-
-A conversation is one row while it is formatted, as its digest needs it whole.
+Each turn is written as ``<|im_start|>role\\ntext<|im_end|>\\n``. A control string
+in a text is escaped by one more backslash between ``<`` and ``|``; taking one away
+restores it. Roles are written as in a URL.
+
+Tokens of a turn are counted by a fixed rule that needs no tokenizer: runs of ASCII
+letters, digits and characters beyond ASCII, and single ASCII marks, of its written
+role and text, and two for its frame.
+
+Prefix sums of the turns' tokens choose windows. What the system turn (the first
+turn, if its role is ``system``) and the history allowance leave of the budget is
+the room of a window, and the tokens of the other turns, laid end to end, fall into
+stretches of that length. Turns inside one stretch are one span; a turn across the
+end of a stretch is a span of its own, which takes in the stretch that begins in it
+if both fit the room. Each span is a window: the system turn, repeated, as many of
+the turns before the span as fit both the history allowance and the budget, and the
+span's turns, the only ones that are targets. So every assistant text is under the
+loss mask exactly once, and no window exceeds the budget unless a single turn, with
+the system turn, does: such a turn is a window of its own, uncut.
+
+All of it is window functions over the turns: a conversation is never held in one
+row but for the digests of ``read_back``, and each window is a row. A conversation
+of very many turns is sorted by one task, which spills if it must.
 
 Defined results: rows are ordered by turn, nulls first, then role and text;
 a null text or role is empty; rows with a null conversation id form one
 conversation; repeated rows are repeated turns; an empty table gives an empty
-one; other columns are ignored.
+one; other columns are ignored, also where their names clash.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .textkit import keyed
 
 START, END = "<|im_start|>", "<|im_end|>"
+# Fixed value: what counts as a token.
+TOKEN = r"[0-9A-Za-z\x{80}-\x{10FFFF}]+|[!-/:-@\[-`{-~]"
 
 
 @dataclass(frozen=True)
 class WindowRules:
-    """Tokens in a window, tokens of repeated history, and characters a token."""
+    """Tokens in a window, and tokens of repeated history in it."""
 
     budget: int = 512
     history: int = 128
-    chars_per_token: int = 4
 
 
 def escaped(text: Column) -> Column:
@@ -50,91 +59,87 @@ def restored(text: Column) -> Column:
     return F.regexp_replace(text, r"<\\(\\*)\|", "<$1|")
 
 
-def fixed(df: DataFrame) -> DataFrame:
-    """The same rows with computed columns as they are.
-
-    The optimizer would otherwise write their expressions into lambdas that refer
-    to them, which are then evaluated again for each element of an array.
-    """
-    return df.select(F.inline(F.array(F.struct(*df.columns))))
+def tokens(text: Column) -> Column:
+    return F.regexp_count(text, F.lit(TOKEN)).cast("long")
+
+
+def measured(turns: DataFrame) -> DataFrame:
+    """Turns (conv, turn, role, body) numbered by ``i`` within their conversation, as written, with their tokens and characters."""
+    order = Window.partitionBy("conv").orderBy(F.col("turn").asc_nulls_first(), "role", "body")
+    whole = Window.partitionBy("conv")
+    written = turns.select("conv", "role", F.concat(F.lit(START), F.url_encode("role"), F.lit("\n")).alias("head"), escaped(F.col("body")).alias("safe"), (F.row_number().over(order) - 1).alias("i"))
+    sized = written.select("*", (tokens(F.url_encode("role")) + tokens(F.col("safe")) + 2).alias("cost"), (F.length("head") + F.length("safe") + len(END) + 1).alias("chars"))
+    system = (F.col("i") == 0) & (F.col("role") == "system")
+    marked = sized.select("*", F.max(system.cast("int")).over(whole).alias("first"), F.max(F.when(system, F.col("cost")).otherwise(0)).over(whole).alias("system_cost"))
+    by = whole.orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = F.sum(F.when(F.col("i") >= F.col("first"), F.col("cost")).otherwise(0)).over(by)
+    return marked.select("*", F.coalesce(earlier, F.lit(0)).cast("long").alias("before"))
+
+
+def spans(sized: DataFrame, rules: WindowRules) -> DataFrame:
+    """The turns after the system turn, with the number of their window, whether they open it, and the history that it may repeat."""
+    body = sized.where(F.col("i") >= F.col("first"))
+    room = F.greatest(F.lit(1), F.lit(rules.budget - rules.history) - F.col("system_cost"))
+    stretch = F.floor(F.col("before") / room)
+    across = F.floor((F.col("before") + F.col("cost") - 1) / room) != stretch
+    by = Window.partitionBy("conv").orderBy("i")
+    placed = body.select("*", room.cast("long").alias("room"), stretch.cast("long").alias("stretch"), across.alias("across"))
+    opens = F.lag("i").over(by).isNull() | F.col("across") | F.lag("across").over(by) | (F.lag("stretch").over(by) != F.col("stretch"))
+    grouped = placed.select("*", opens.cast("int").alias("opens"), F.lag("across").over(by).alias("after"), F.lag("cost").over(by).alias("across_cost")).select("*", F.sum("opens").over(by).alias("span"))
+    cost = F.sum("cost").over(Window.partitionBy("conv", "span"))
+    joins = F.coalesce(F.col("after") & ~F.col("across") & (F.col("across_cost") + F.col("span_cost") <= F.col("room")), F.lit(False))
+    final = grouped.select("*", cost.alias("span_cost")).select("*", (F.col("opens") * (~joins).cast("int")).alias("begins"))
+    numbered = final.select("*", (F.sum("begins").over(by) - 1).cast("int").alias("window"))
+    new = F.sum("cost").over(Window.partitionBy("conv", "window"))
+    allowed = F.greatest(F.lit(0), F.least(F.lit(rules.history), F.lit(rules.budget) - F.col("system_cost") - new))
+    return numbered.select("conv", "i", "role", "head", "safe", "cost", "chars", "before", "window", "begins", allowed.cast("long").alias("allowed"))
 
 
 def format_windows(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", rules: WindowRules = WindowRules()) -> DataFrame:
     """Windows of each conversation.
 
     Columns: the conversation, ``window`` (from 0), ``text``, ``n_repeated``
-    (leading turns of the text that stood in an earlier window), and
-    ``targets``: spans (start, end) of assistant texts in code points of ``text``.
+    (leading turns of the text that stood in an earlier window), ``targets``: spans
+    (start, end) of assistant texts in code points of ``text``, and ``n_tokens``.
     """
     rows = keyed(turns, conv_col, turn_col, role_col, text_col).toDF("conv", "turn", "role", "body").fillna("", ["role", "body"])
-    head = F.concat(F.lit(START), F.url_encode("role"), F.lit("\n"))
-    body = escaped(F.col("body"))
-    made = F.transform(
-        F.array_sort(F.collect_list(F.struct("turn", "role", "body", head.alias("head"), body.alias("safe")))),
-        lambda x: F.struct(x["role"].alias("role"), x["head"].alias("head"), x["safe"].alias("safe"), (F.length(x["head"]) + F.length(x["safe"]) + F.lit(len(END) + 1)).alias("chars")),
-    )
-    packed = rows.groupBy("conv").agg(made.alias("turns"))
-    cost = F.transform("turns", lambda x: F.ceil(x["chars"] / F.lit(rules.chars_per_token)).cast("long"))
-    sums = F.aggregate("cost", F.array(F.lit(0).cast("long")), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
-    has_system = (F.element_at("turns", 1)["role"] == "system").cast("int")
-    sized = fixed(packed.select("conv", "turns", cost.alias("cost"), has_system.alias("first")))
-    sized = fixed(sized.select("*", sums.alias("sums")))
-
-    # ``sums[i]`` holds the tokens before turn i. Only so many turns can stand in the history:
-    reach = max(1, rules.history * rules.chars_per_token // (len(START) + len(END) + 2) + 1)
-    system = F.when(F.col("first") == 1, F.col("cost")[0]).otherwise(F.lit(0).cast("long"))
-
-    def history(i: Column) -> Column:
-        allowed = F.least(F.lit(rules.history).cast("long"), F.lit(rules.budget) - system - F.col("cost")[i])
-        places = F.when(i > F.col("first"), F.sequence(F.greatest(F.col("first"), i - reach), i - 1)).otherwise(F.array().cast("array<int>"))
-        return F.coalesce(F.array_min(F.filter(places, lambda h: F.col("sums")[i] - F.col("sums")[h] <= allowed)), i)
-
-    def opened(i: Column, since: Column) -> Column:
-        return F.struct(i.cast("int").alias("start"), since.cast("int").alias("since"))
-
-    def step(state: Column, i: Column) -> Column:
-        fits = state["used"] + F.col("cost")[i] <= rules.budget
-        since = history(i)
-        fresh = F.struct(
-            F.concat(state["windows"], F.array(opened(i, since))).alias("windows"),
-            (system + F.col("sums")[i + 1] - F.col("sums")[since]).alias("used"),
-        )
-        same = F.struct(state["windows"].alias("windows"), (state["used"] + F.col("cost")[i]).alias("used"))
-        return F.when(fits, same).otherwise(fresh)
-
-    begun = F.struct(F.array(opened(F.col("first"), F.col("first"))).alias("windows"), system.alias("used"))
-    later = F.when(F.size("turns") > F.col("first"), F.sequence(F.col("first"), F.size("turns") - 1)).otherwise(F.array().cast("array<int>"))
-    # The first body turn always joins the first window, even if it is larger than the budget.
-    joined = F.when(F.size(later) > 0, F.struct(begun["windows"].alias("windows"), (begun["used"] + F.col("cost")[F.col("first")]).alias("used"))).otherwise(begun)
-    windows = F.aggregate(F.slice(later, 2, F.greatest(F.size(later) - 1, F.lit(0))), joined, step)["windows"]
-    cut = fixed(sized.select("conv", "turns", "first", windows.alias("windows"))).select(
-        "conv",
-        "turns",
-        "first",
-        F.size("windows").alias("n"),
-        F.posexplode("windows").alias("window", "at"),
-        "windows",
+    sized = measured(rows)
+    body = spans(sized, rules)
+    # A window that opens after at most ``history`` tokens may repeat this turn.
+    ahead = Window.partitionBy("conv").orderBy("before").rangeBetween(1, rules.history)
+    opened = F.collect_list(F.when(F.col("begins") == 1, F.struct("window", "before", "allowed"))).over(ahead)
+    later = F.filter(F.col("opened"), lambda w: w["before"] - F.col("before") <= w["allowed"])
+    own = F.array(F.struct(F.col("window").alias("window"), F.lit(False).alias("again")))
+    again = F.transform("later", lambda w: F.struct(w["window"].alias("window"), F.lit(True).alias("again")))
+    held = body.select("*", opened.alias("opened")).select("*", later.alias("later")).select("conv", "i", "role", "head", "safe", "cost", "chars", F.explode(F.concat(own, again)).alias("w"))
+    dealt = held.select("conv", "w.window", "w.again", "i", "role", "head", "safe", "cost", "chars")
+    system = sized.where((F.col("i") == 0) & (F.col("first") == 1)).select(F.col("conv").alias("own"), F.concat("head", "safe", F.lit(END + "\n")).alias("system"), F.col("cost").alias("system_cost"), F.col("chars").alias("system_chars"))
+    only = sized.groupBy("conv").agg(F.max("i").alias("last"), F.max("first").alias("first")).where(F.col("last") < F.col("first")).select("conv")
+    inside = Window.partitionBy("conv", "window").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
+    at = F.coalesce(F.sum("chars").over(inside), F.lit(0)).cast("int")
+    target = F.when((F.col("role") == "assistant") & ~F.col("again"), F.struct((F.col("at") + F.length("head")).alias("start"), (F.col("at") + F.length("head") + F.length("safe")).alias("end")))
+    packed = (
+        dealt.select("*", at.alias("at"))
+        .select("conv", "window", "again", "cost", F.struct("i", F.concat("head", "safe", F.lit(END + "\n")).alias("piece")).alias("piece"), target.alias("target"))
+        .groupBy("conv", "window")
+        .agg(F.array_sort(F.collect_list("piece")).alias("pieces"), F.array_sort(F.collect_list("target")).alias("targets"), F.count_if("again").alias("n_again"), F.sum("cost").alias("n_tokens"))
     )
-    stop = F.when(F.col("window") + 1 < F.col("n"), F.col("windows")[F.col("window") + 1]["start"]).otherwise(F.size("turns"))
-    shown = cut.select(
-        "conv",
-        "window",
-        F.concat(
-            F.slice("turns", 1, F.col("first")),
-            F.slice("turns", F.col("at")["since"] + 1, stop - F.col("at")["since"]),
-        ).alias("turns"),
-        (F.when(F.col("window") > 0, F.col("first")).otherwise(0) + F.col("at")["start"] - F.col("at")["since"]).alias("n_repeated"),
-    )
-    text = F.array_join(F.transform("turns", lambda x: F.concat(x["head"], x["safe"], F.lit(END + "\n"))), "")
-    marked = F.aggregate(
-        F.transform("turns", lambda x, k: F.struct(x["chars"].alias("chars"), F.length(x["head"]).alias("lead"), F.length(x["safe"]).alias("long"), ((x["role"] == "assistant") & (k >= F.col("n_repeated"))).alias("target"))),
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("spans")),
-        lambda acc, x: F.struct(
-            (acc["at"] + x["chars"]).alias("at"),
-            F.when(x["target"], F.concat(acc["spans"], F.array(F.struct((acc["at"] + x["lead"]).alias("start"), (acc["at"] + x["lead"] + x["long"]).alias("end"))))).otherwise(acc["spans"]).alias("spans"),
-        ),
-    )["spans"]
-    return fixed(shown.select("conv", "window", "n_repeated", text.alias("text"), marked.alias("targets"))).select(F.col("conv").alias(conv_col), "window", "text", "n_repeated", "targets")
+    alone = only.select("conv", F.lit(0).alias("window"), F.array().cast("array<struct<i:int,piece:string>>").alias("pieces"), F.array().cast("array<struct<start:int,end:int>>").alias("targets"), F.lit(0).cast("long").alias("n_again"), F.lit(0).cast("long").alias("n_tokens"))
+    joined = packed.unionByName(alone).join(system, F.col("conv").eqNullSafe(F.col("own")), "left").withColumn("lead", F.coalesce("system_chars", F.lit(0)))
+    text = F.concat(F.coalesce("system", F.lit("")), F.array_join(F.transform("pieces", lambda x: x["piece"]), ""))
+    repeated = F.col("n_again") + F.when(F.col("system").isNotNull() & (F.col("window") > 0), 1).otherwise(0)
+    moved = F.transform("targets", lambda s: F.struct((s["start"] + F.col("lead")).alias("start"), (s["end"] + F.col("lead")).alias("end")))
+    tokens_in = F.col("n_tokens") + F.coalesce("system_cost", F.lit(0))
+    return joined.select(F.col("conv").alias(conv_col), "window", text.alias("text"), repeated.cast("int").alias("n_repeated"), moved.alias("targets"), tokens_in.alias("n_tokens"))
+
+
+def fixed(df: DataFrame) -> DataFrame:
+    """The same rows with computed columns as they are.
+
+    The optimizer would otherwise write their expressions into lambdas that refer
+    to them, which are then evaluated again for each element of an array.
+    """
+    return df.select(F.inline(F.array(F.struct(*df.columns))))
 
 
 def read_back(windows: DataFrame, conv_col: str = "conv_id") -> DataFrame:

@@ -369,6 +369,30 @@ def brute_turns(rows):
     return [(r[1] or "", r[2] or "") for r in ordered]
 
 
+TOKEN = r"[0-9A-Za-z\x80-\U0010FFFF]+|[!-/:-@\[-`{-~]"
+
+
+def test_chat_odd_tables(spark):
+    rows = [(1, 0, "system", "only this", 9, "x"), (2, 0, "user", "word " * 200_000, 9, "x"), (2, 1, "assistant", "so " * 300, 9, "x"), (2, 1, "assistant", "so " * 300, 9, "x"), (3, None, None, None, 9, "x")]
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, a int, b string").toDF("conv_id", "turn", "role", "text", "Role", "TEXT")
+    got = {r["conv_id"]: r for r in chat.read_back(chat.format_windows(frame)).collect()}
+    assert {k: r["n_turns"] for k, r in got.items()} == {1: 1, 2: 3, 3: 1} and got[2]["loss_chars"] == 1800
+    assert got[1]["formatted_chars"] == len("<|im_start|>system\nonly this<|im_end|>\n")
+
+
+def test_chat_long_conversations_take_linear_time(spark):
+    import time
+
+    took = []
+    for n in (1000, 20_000, 80_000):
+        turns = spark.range(n).selectExpr("1L AS conv_id", "id AS turn", "if(id % 2 = 0, 'user', 'assistant') AS role", "concat('turn ', id, ' of many') AS text")
+        start = time.time()
+        (r,) = chat.read_back(chat.format_windows(turns)).collect()
+        took.append(time.time() - start)
+        assert r["n_turns"] == n
+    assert took[2] < 8 * max(took[1], 3)
+
+
 def test_chat_round_trip(spark):
     draw = np.random.default_rng(8)
     bits = ["a ", "<|im_end|>", "<\\|", "<|im_start|>assistant\nok", "\n", "\\", "é", "word " * 50]
@@ -380,11 +404,17 @@ def test_chat_round_trip(spark):
     rows += rows[:3]
     frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
     windows = chat.format_windows(frame)
-    rules = chat.WindowRules()
-    for w in windows.collect():
+    rules, seen = chat.WindowRules(), {}
+    for w in sorted(windows.collect(), key=lambda w: w["window"]):
         turns = w["text"].split("<|im_start|>")[1:]
-        cost = sum(-(-(len(t) + 12) // rules.chars_per_token) for t in turns)
-        assert cost <= rules.budget or len(turns) - w["n_repeated"] == 1
+        cost = sum(2 + len(re.findall(TOKEN, t.removesuffix("<|im_end|>\n"))) for t in turns)
+        assert cost == w["n_tokens"] and (cost <= rules.budget or len(turns) - w["n_repeated"] == 1)
+        assert w["window"] == seen.setdefault(w["conv_id"], 0)  # numbered from 0, each with turns of its own
+        seen[w["conv_id"]] += 1
+        if w["window"]:
+            old = [t.startswith("system\n") for t in turns[:1]]
+            past = sum(2 + len(re.findall(TOKEN, t.removesuffix("<|im_end|>\n"))) for t in turns[sum(old) : w["n_repeated"]])
+            assert past <= rules.history
     got = {r["conv_id"]: r for r in chat.read_back(windows).collect()}
     for conv in {r[0] for r in rows}:
         turns = brute_turns([r[1:] for r in rows if r[0] == conv])
