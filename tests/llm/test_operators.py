@@ -562,6 +562,32 @@ def test_lm_trains_on_every_place_once(texts, monkeypatch, rounds):
     assert sum(counts) == len(seen) == n and set(seen.values()) == {1} and min(counts) > 0
 
 
+def test_lm_log_probabilities_equal_a_plain_loop(texts):
+    """Network, classes and shares of words against loops over places and words."""
+    rules = lm_score.LmRules(words=5, hidden=4)
+    draw = np.random.default_rng(9)
+    bodies = [t.encode()[:400] for t in list(texts.values())[:12] if t]
+    counts = Counter(w for b in bodies for w in b.lower().split())
+    own = [w for w, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:5]]
+    known = lm_score.Lookup({w: k for k, w in enumerate(own)}, 5, np.arange(5, dtype=np.int32), np.zeros(5))
+    network = lm_score.Network(5 + lm_score.CLASSES, rules, draw.standard_normal(5 + lm_score.CLASSES))
+    words, numbers, sizes = known.found(bodies)
+    codes, places = lm_score.coded(words, numbers, sizes, known, rules)
+    got = network.log_probabilities(codes, places, step=7)
+    code = lambda w: own.index(w) if w in own else 5 + lm_score.word_class(w)
+    weights, at = {k: v.astype(float) for k, v in network.weights.items()}, 0
+    for body in bodies:
+        line = [code(w) for w in body.lower().split()]
+        for k in range(len(line)):
+            hidden = weights["inner"].copy()
+            for j, d in enumerate((-2, -1, 1, 2)):
+                hidden += weights["place"][j][line[k + d] if 0 <= k + d < len(line) else 5 + lm_score.CLASSES]
+            logits = np.tanh(hidden) @ weights["out"] + weights["bias"]
+            assert got[at] == pytest.approx(logits[line[k]] - np.log(np.exp(logits).sum()), abs=1e-3)
+            at += 1
+    assert at == len(got)
+
+
 def test_lm_very_unlikely_words_keep_their_score():
     network = lm_score.Network(7, lm_score.LmRules(), np.array([0, 0, 0, 0, 0, 0, 300.0]))
     codes = np.array([7, 7, 1, 2, 6, 7, 7])
@@ -572,16 +598,78 @@ def test_lm_very_unlikely_words_keep_their_score():
 # Licences
 
 
+def recognised(text):
+    return license_scan.licences(license_scan.sentence_ids(text))
+
+
 def test_licences():
     text = "Intro words.\nLicensed under the Apache License,\nVersion 2.0 (the \"License\");\nyou may not use this file except in compliance with the License.\nYou may obtain a copy of the License at\n\nhttp://x\n\nUnless required by applicable law or agreed to in writing, software\ndistributed under the License is distributed on an \"AS IS\" BASIS,\nWITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied."
-    found = [i for _, i in license_scan.sentence_ids(text)]
-    assert found == ["apache-under", "apache-may", "apache-copy", "apache-asis"] and license_scan.licences(license_scan.sentence_ids(text)) == ["Apache-2.0"]
+    found = [i for *_, i in license_scan.sentence_ids(text)]
+    assert found[1:] == ["apache-may", "apache-copy", "apache-asis"] and recognised(text) == ["Apache-2.0"]
     for name, wanted in license_scan.RULES:
-        body = "\n".join(license_scan.SENTENCES[w][0] for w in wanted)
-        assert license_scan.licences(license_scan.sentence_ids("Some words.\n" + body + "\nMore words.")) == [name]
+        if not wanted[0].startswith("named-"):
+            body = "\n".join(license_scan.SENTENCES[w][0].replace("*", "the University of Somewhere, Inc.") for w in wanted)
+            assert recognised("Some words.\n" + body + "\nMore words.") == [name]
     assert license_scan.sentence_ids("This text is licensed to nobody. MIT is a school.") == []
     reverse = "\n".join(license_scan.SENTENCES[w][0] for w in ("mit-notice", "mit-grant"))
-    assert license_scan.licences(license_scan.sentence_ids(reverse)) == []
+    assert recognised(reverse) == []
+
+
+@pytest.mark.parametrize(
+    "text, wanted",
+    [
+        ("// SPDX-License-Identifier: MIT", ["MIT"]),
+        ("# SPDX-License-Identifier: GPL-2.0-or-later", ["GPL-2.0"]),
+        ("/* SPDX-License-Identifier: (MIT OR Apache-2.0) */", ["Apache-2.0", "MIT"]),
+        ("SPDX-License-Identifier: GPL-2.0 WITH Classpath-exception-2.0", ["GPL-2.0"]),
+        ("This project is licensed under the MIT License. See the file.", ["MIT"]),
+        ("Released under the terms of the GNU Lesser General\nPublic License, version 2.1.", ["LGPL-2.1"]),
+        ("This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.", ["CC-BY-ND-4.0"]),
+        ("This software is distributed under the Boost Software License, Version 1.0.", ["BSL-1.0"]),
+        ("The MIT License is a licence that many know.", []),
+        ("Neither the name of Google Inc. nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.", []),
+    ],
+)
+def test_named_licences(text, wanted):
+    assert recognised("Before it.\n" + text + "\nAfter it.") == wanted
+
+
+def test_a_holder_of_any_name():
+    body = [license_scan.SENTENCES[w][0] for w in ("bsd-grant", "bsd-source", "bsd-binary")]
+    assert recognised("\n * ".join([*body, "Neither the name of Google Inc. nor the names of its\n * contributors may be used to endorse or promote products derived from\n * this software without specific prior written permission."])) == ["BSD-3-Clause"]
+    assert recognised("\n".join(body)) == ["BSD-2-Clause"]
+
+
+def brute_licences(found, gap):
+    """All choices of sentences for a rule, longest rules first, each taking the first that is left."""
+    used, out = set(), set()
+    for name, wanted in sorted(license_scan.RULES, key=lambda r: (-len(r[1]), r)):
+        start = 0
+        while start < len(found):
+            chain = [start] if start not in used and found[start][2] == wanted[0] else []
+            for want in wanted[1:]:
+                nearest = [k for k in range(chain[-1] + 1, len(found)) if found[k][2] == want and k not in used][:1] if chain else []
+                chain = chain + nearest if nearest and len(range(found[chain[-1]][1], found[nearest[0]][0])) <= gap else []
+            if chain:
+                out.add(name)
+                used.update(chain)
+            start += 1
+    return sorted(out)
+
+
+def test_licences_by_brute_force_and_gap():
+    draw = np.random.default_rng(3)
+    names = [w for _, wanted in license_scan.RULES for w in wanted if not w.startswith("named-")]
+    others = ["Some other words.", "Nothing of note here!", "What is it?"]
+    for _ in range(300):
+        kinds = [str(draw.choice(names)) if draw.random() < 0.5 else "" for _ in range(draw.integers(1, 40))]
+        lines = [license_scan.SENTENCES[k][0].replace("*", "Some Body") if k else str(draw.choice(others)) for k in kinds]
+        ids = license_scan.sentence_ids("\n".join(lines))
+        assert [i for *_, i in ids] == [k for k in kinds if k]
+        assert license_scan.licences(ids) == brute_licences(ids, 6)
+    for n, wanted in ((6, ["MIT"]), (7, [])):
+        text = "\n".join([license_scan.SENTENCES["mit-grant"][0], *["Other words."] * n, license_scan.SENTENCES["mit-notice"][0]])
+        assert recognised(text) == wanted
 
 
 # Pages
