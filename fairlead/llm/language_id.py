@@ -41,6 +41,8 @@ from .textkit import arrow_map, blocks, keyed, mix, powers, span_hashes, spread
 UNDETERMINED = "und"
 MARK = "▁"
 UNKNOWN = 1e-9
+#: Up to so many languages their row counts go to all tasks; beyond, they are joined by a shuffle.
+MOST_SENT = 10_000
 _letter = re.compile(r"[^\W\d_]")
 
 
@@ -245,7 +247,8 @@ def train(docs: DataFrame, pieces: list[str], id_col: str, text_col: str, lang_c
     if not languages:
         return [], np.zeros((len(pieces) + 2, 0))
     draw = F.pmod(F.xxhash64(id_col), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    sample = labelled.join(sizes, lang_col).where(draw < F.lit(float(rules.per_language)) / F.col("rows of language")).select(lang_col, text_col)
+    few = F.broadcast(sizes) if len(languages) <= MOST_SENT else sizes
+    sample = labelled.join(few, lang_col).where(draw < F.lit(float(rules.per_language)) / F.col("rows of language")).select(lang_col, text_col)
     schema = T.StructType([T.StructField("tongue", T.IntegerType()), T.StructField("word", T.StringType()), T.StructField("n", T.LongType())])
 
     def rows(batch: pa.RecordBatch):
