@@ -148,6 +148,29 @@ class Settings:
         return self if seconds is None else dataclasses.replace(self, resampling=dataclasses.replace(self.resampling, seconds=seconds))
 
 
+def port_cleaning(settings: Settings, sog_max: float | None = None, duplicate_seconds: float | None = None, cog_unavailable: float | None = None, heading_unavailable: float | None = None, gap_seconds: float | None = None, channel_knots: float | None = None) -> Settings:
+    """Settings with a port's own values in all parts that use them; None leaves a value as it is."""
+    given = lambda **x: {k: v for k, v in x.items() if v is not None}
+    return dataclasses.replace(
+        settings,
+        cleaning=dataclasses.replace(settings.cleaning, **given(sog_max=sog_max, duplicate_seconds=duplicate_seconds, cog_unavailable=cog_unavailable, heading_unavailable=heading_unavailable)),
+        voyages=dataclasses.replace(settings.voyages, **given(gap_seconds=gap_seconds)),
+        berth=dataclasses.replace(settings.berth, **given(channel_knots=channel_knots)),
+    )
+
+
+def raw_folder(domain: Domain, plain: str) -> str:
+    """Where the zip files lie: the domain's own root before the plain one."""
+    return domain.raw_root.strip() or plain
+
+
+def store_folder(domain: Domain, plain: str) -> str:
+    """Where reports are stored: below the subset root, else the domain's part of the plain folder, else its part for all reports."""
+    if domain.subset_root.strip():
+        return f"{domain.subset_root.strip().rstrip('/')}/raw_daily_filtered"
+    return f"{plain.rstrip('/')}/{'subsets' if domain.enabled else 'all'}"
+
+
 def override(settings: Any, changes: dict) -> Any:
     """Settings with nested changes; unknown names are ignored, and nothing is overwritten later."""
     known = {f.name: getattr(settings, f.name) for f in dataclasses.fields(settings)}

@@ -73,3 +73,17 @@ def prune_branches(first_points: DataFrame, near_channels: DataFrame, channel_me
     good = F.coalesce(F.col("metres") <= rules.deviation_metres, F.lit(True))
     some = F.max(good.cast("int")).over(Window.partitionBy("mmsi"))
     return closest.withColumns({"good": good, "some": some}).where(F.col("good") | (F.col("some") == 0)).select("mmsi", "cluster_id")
+
+
+def locked_branches(totals: DataFrame, rules: Prediction = Prediction()) -> DataFrame:
+    """(mmsi, locked): the branch whose first predictions have been clearly nearest; null where none is, yet.
+
+    totals: (mmsi, cluster_id, seen, metres), metres being the sum over ``seen`` observations. It takes
+    ``lock_observations`` and two branches, the second of them finite and more than ``lock_ratio`` as far.
+    """
+    by = Window.partitionBy("mmsi").orderBy("metres", "cluster_id")
+    ranked = totals.select("mmsi", "cluster_id", "seen", "metres", F.row_number().over(by).alias("rank")).where("rank <= 2")
+    at = lambda k, c: F.max(F.when(F.col("rank") == k, F.col(c)))
+    both = ranked.groupBy("mmsi").agg(at(1, "cluster_id").alias("best"), at(1, "metres").alias("d1"), at(2, "metres").alias("d2"), F.max("seen").alias("seen"))
+    clear = (F.col("seen") >= rules.lock_observations) & (F.col("d2") < float("inf")) & (F.col("d1") * rules.lock_ratio < F.col("d2"))
+    return both.select("mmsi", F.when(clear, F.col("best")).alias("locked"))

@@ -80,7 +80,16 @@ def junction_table(spark, junctions: list[dict]) -> DataFrame:
     return spark.createDataFrame(rows, "place int, junction_id string, j_lon double, j_lat double, radius_m double, clusters array<int>")
 
 
-def junction_of(points: DataFrame, junctions: DataFrame, key: str) -> DataFrame:
-    """The first junction whose circle holds a point; null if none does."""
-    near = points.join(F.broadcast(junctions), haversine(F.col("lat"), F.col("lon"), F.col("j_lat"), F.col("j_lon")) <= F.col("radius_m"), "left")
+def junction_of(points: DataFrame, junctions: DataFrame, key: str, largest: int = 20_000) -> DataFrame:
+    """The first junction whose circle holds a point; null if none does. Up to ``largest`` junctions are broadcast; the planner chooses beyond."""
+    side = F.broadcast(junctions) if junctions.limit(largest + 1).count() <= largest else junctions
+    # A degree of latitude is the same everywhere, so most pairs are dismissed before any sine is taken.
+    level = F.abs(F.col("lat") - F.col("j_lat")) <= F.col("radius_m") / F.lit(111_000.0)
+    near = points.join(side, level & (haversine(F.col("lat"), F.col("lon"), F.col("j_lat"), F.col("j_lon")) <= F.col("radius_m")), "left")
     return near.groupBy(key).agg(F.min_by("junction_id", "place").alias("junction_id"), F.min_by("clusters", "place").alias("clusters"))
+
+
+def clusters_at(junctions: DataFrame, junction_id: str) -> set[int]:
+    """The routes that fork at a junction; none for one that is not known."""
+    found = junctions.where(F.col("junction_id") == junction_id).orderBy("place").select("clusters").first()
+    return set(found["clusters"] or []) if found else set()

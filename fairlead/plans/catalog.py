@@ -700,6 +700,38 @@ def geometry_prune(spark, sf_dir):
     return match.prune_branches(branch, seen, metres, dataclasses.replace(Prediction(), deviation_metres=4000.0))
 
 
+# Sums of distances stand for three branches' first predictions, after one to three observations.
+@query(on(100, f""", bt AS (SELECT event_id // 3 AS mmsi, (event_id % 3)::INTEGER AS cluster_id, 1 + (event_id // 3) % 3 AS seen, {haversine_sql('lat', 'lon', '33.6::DOUBLE', '-118.3::DOUBLE')} AS metres FROM p),
+    rk AS (SELECT *, row_number() OVER (PARTITION BY mmsi ORDER BY metres, cluster_id) AS r FROM bt),
+    tw AS (SELECT mmsi, max(seen) AS seen, max(CASE WHEN r = 1 THEN cluster_id END) AS best, max(CASE WHEN r = 1 THEN metres END) AS d1, max(CASE WHEN r = 2 THEN metres END) AS d2 FROM rk GROUP BY mmsi)
+    SELECT mmsi, CASE WHEN seen >= 2 AND d1 * 1.35::DOUBLE < d2 THEN best END AS locked FROM tw"""))
+def fork_lock(spark, sf_dir):
+    p = positions(spark, sf_dir, 100)
+    vessel = F.floor(F.col("event_id") / 3)
+    metres = geo.haversine(F.col("lat"), F.col("lon"), F.lit(33.6), F.lit(-118.3))
+    return match.locked_branches(p.select(vessel.alias("mmsi"), (F.col("event_id") % 3).cast("int").alias("cluster_id"), (vessel % 3 + 1).alias("seen"), metres.alias("metres")))
+
+
+@query("SELECT * FROM (VALUES ('J1', 0), ('J1', 1), ('J1', 2), ('J2', 3), ('J2', 4)) v(junction_id, cluster_id)")
+def junction_clusters(spark, sf_dir):
+    known = spatial.junction_table(spark, JUNCTIONS)
+    return spark.createDataFrame([(j, c) for j in ("J1", "J2", "broken", "J9") for c in sorted(spatial.clusters_at(known, j))], "junction_id string, cluster_id int")
+
+
+@query(on(1, " SELECT mmsi, floor(t) AS t, lon, lat, sog, CASE WHEN cog < 360 THEN cog END AS cog, nullif(heading, 511) AS heading, CASE WHEN event_id % 5 <> 0 THEN vessel_type END AS vessel_type FROM p WHERE event_id % 11 <> 0 AND event_id % 13 <> 0"))
+def typed_reports(spark, sf_dir):
+    """Reports as their files write them, all text, some of it broken, and back."""
+    p = positions(spark, sf_dir)
+    text = lambda c: F.col(c).cast("string")
+    raw = p.select(
+        F.when(F.col("event_id") % 11 == 0, "no number").otherwise(F.concat(text("mmsi"), F.lit(".0"))).alias("MMSI"),
+        F.when(F.col("event_id") % 13 == 0, "never").otherwise(F.date_format(F.timestamp_seconds(F.floor("t")), "yyyy-MM-dd'T'HH:mm:ss")).alias("BaseDateTime"),
+        text("lat").alias("LAT"), text("lon").alias("LON"), text("sog").alias("SOG"), text("cog").alias("COG"), text("heading").alias("Heading"),
+        F.when(F.col("event_id") % 5 == 0, "unknown").otherwise(text("vessel_type")).alias("VesselType"),
+    )
+    return report_files.typed(raw).select("mmsi", "t", "lon", "lat", "sog", "cog", "heading", "vessel_type")
+
+
 # Models and live data
 
 

@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
 
 MESSAGE = "MMSI BIGINT, Timestamp STRING, LON DOUBLE, LAT DOUBLE, SOG DOUBLE, COG DOUBLE"
 
@@ -60,3 +61,54 @@ def poll(url: str, every: float = 5.0, times: int | None = None, opener=urllib.r
             yield []
         if times is None or asked < times:
             time.sleep(every)
+
+
+class HttpReader(SimpleDataSourceStreamReader):
+    """Each read asks the address once; an answer that fails is empty and the next read asks again."""
+
+    def __init__(self, options: dict):
+        self.url, self.timeout, self.every = options["url"], float(options.get("timeout", 30)), float(options.get("every", 5))
+        self.held: dict[int, list[tuple[str]]] = {}
+        self.asked_at = 0.0
+
+    def initialOffset(self) -> dict:
+        return {"asked": 0}
+
+    def read(self, start: dict) -> tuple[Iterator[tuple[str]], dict]:
+        time.sleep(max(0.0, self.asked_at + self.every - time.monotonic()))
+        self.asked_at = time.monotonic()
+        try:
+            with urllib.request.urlopen(self.url, timeout=self.timeout) as answer:
+                rows = [(json.dumps(r),) for r in records(answer.read().decode())]
+        except (OSError, ValueError):
+            rows = []
+        self.held[start["asked"]] = rows
+        return iter(rows), {"asked": start["asked"] + 1}
+
+    def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple[str]]:
+        """What was read before; nothing after a restart, as an address does not answer for the past."""
+        return iter([row for k in range(start["asked"], end["asked"]) for row in self.held.get(k, [])])
+
+    def commit(self, end: dict) -> None:
+        for k in [k for k in self.held if k < end["asked"]]:
+            del self.held[k]
+
+
+class HttpMessages(DataSource):
+    """Stream of JSON objects, one a row, from a web address. Options: url, every (seconds between two reads), timeout."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "http_messages"
+
+    def schema(self) -> str:
+        return "value string"
+
+    def simpleStreamReader(self, schema) -> HttpReader:
+        return HttpReader(dict(self.options))
+
+
+def watch_url(spark: SparkSession, url: str, every: float = 5.0) -> DataFrame:
+    """A stream of messages from a web address that answers with a JSON array or one object a line."""
+    spark.dataSource.register(HttpMessages)
+    return messages(spark.readStream.format("http_messages").option("url", url).option("every", str(every)).load())

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..config import Domain
+from ..config import Domain, raw_folder, store_folder
 from ..functions.geo import file_date
 from ..operators import clean
 from ..operators.components import forget, settle
@@ -184,6 +184,12 @@ def ingest(spark: SparkSession, folder: str, target: str, domain: Domain = Domai
     return fresh.where("problem IS NULL").count()
 
 
+def ingest_domain(spark: SparkSession, domain: Domain, raw: str, store: str, first: str | None = None, last: str | None = None) -> tuple[str, int]:
+    """``ingest`` between the folders that the domain names, or those given: the store's folder and the number of files taken in."""
+    target = store_folder(domain, store)
+    return target, ingest(spark, raw_folder(domain, raw), target, domain, first, last)
+
+
 def problems(spark: SparkSession, target: str) -> DataFrame:
     """(file, path, size, modified, batch, problem) of all files that could not be read, by run."""
     return spark.read.parquet(f"{target}/problems")

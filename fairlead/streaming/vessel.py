@@ -11,11 +11,12 @@ from __future__ import annotations
 import json
 import math
 from collections.abc import Iterator
-from dataclasses import asdict, dataclass, field
+from dataclasses import asdict, dataclass, field, replace
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..config import Cleaning, Prediction, Resampling
 from ..functions.dtw import windows_least
@@ -187,10 +188,12 @@ class Forecaster:
         kept = {k: b for k, b in branches.items() if b and near and min(self.channel_metres(b[0]["lon"], b[0]["lat"], line) for line in near) <= self.rules.deviation_metres}
         return kept or branches
 
-    def shares(self, mmsi: int, clusters: list[int]) -> dict[int, float]:
-        if self.assets.counts is None:
+    def shares(self, mmsi: int, clusters: list[int], seen: str | None = None) -> dict[int, float]:
+        """Shares of the vessel's past voyages: from ``seen`` (route to count, as JSON), else from the assets, else equal."""
+        if seen is None and self.assets.counts is None:
             return {k: 1 / len(clusters) for k in clusters}
-        n = {k: self.assets.counts.get((mmsi, k), 0) for k in clusters}
+        own = {int(k): v for k, v in json.loads(seen).items()} if seen is not None else {k: self.assets.counts.get((mmsi, k), 0) for k in clusters}
+        n = {k: own.get(k, 0) for k in clusters}
         total = sum(n.values())
         return {k: (v / total if total else 1 / len(clusters)) for k, v in n.items()}
 
@@ -201,12 +204,15 @@ class Forecaster:
             return None
         return far[0][1] if far[0][0] * self.rules.lock_ratio < far[1][0] else None
 
-    def answer(self, mmsi: int, track: Track, now: float) -> dict:
-        """The result for a vessel whose track is ready."""
+    def answer(self, mmsi: int, track: Track, now: float, seen: str | None = None) -> dict:
+        """The result for a vessel whose track is ready; a matched route without a model has the status missing_cluster_asset."""
         out = {"status": "predicted", "cluster_id": None, "match_distance": None, "points": [], "is_fork": False, "fork_probabilities": None, "branch_predictions": None, "fork_locked_by_disambiguation": False}
 
         def locked(cluster: int) -> dict:
-            return out | {"cluster_id": cluster, "points": self.ahead(track, cluster, now), "fork_locked_by_disambiguation": True}
+            return out | modelled(cluster) | {"cluster_id": cluster, "points": self.ahead(track, cluster, now), "fork_locked_by_disambiguation": True}
+
+        def modelled(cluster: int) -> dict:
+            return {} if cluster in self.models else {"status": "missing_cluster_asset"}
 
         state = track.fork
         if self.rules.disambiguate and state and state["locked"] is not None:
@@ -222,7 +228,7 @@ class Forecaster:
             best = (near if allowed is None else self.distances(track, None))[:1]
             if not best or not best[0][0] <= self.assets.threshold:
                 return out | {"status": "unknown_cluster", "match_distance": best[0][0] if best and math.isfinite(best[0][0]) else None}
-            return out | {"cluster_id": best[0][1], "match_distance": best[0][0], "points": self.ahead(track, best[0][1], now)}
+            return out | modelled(best[0][1]) | {"cluster_id": best[0][1], "match_distance": best[0][0], "points": self.ahead(track, best[0][1], now)}
         clusters = [k for d, k in top if math.isfinite(d)]
         branches = self.pruned(track, {k: self.ahead(track, k, now) for k in clusters})
         if self.rules.disambiguate:
@@ -234,11 +240,13 @@ class Forecaster:
                     state["metres"][k] = state["metres"].get(k, 0.0) + haversine_number(lat, lon, plat, plon)
                 state["seen"] += 1
             state["locked"] = self.lock(state)
-            if state["locked"] is not None:
+            if state["locked"] in self.models:
                 return locked(state["locked"])
+            if state["locked"] is not None:  # no model: the lock is dropped
+                state = track.fork = {"candidates": sorted(clusters), "metres": {}, "seen": 0, "last": {}, "locked": None}
             state["last"] = {str(k): (b[0]["lon"], b[0]["lat"]) for k, b in branches.items() if b}
         primary = next((k for k in clusters if k in branches), clusters[0])
-        return out | {"cluster_id": primary, "match_distance": top[0][0], "points": branches.get(primary, []), "is_fork": True, "fork_probabilities": self.shares(mmsi, clusters), "branch_predictions": branches}
+        return out | modelled(primary) | {"cluster_id": primary, "match_distance": top[0][0], "points": branches.get(primary, []), "is_fork": True, "fork_probabilities": self.shares(mmsi, clusters, seen), "branch_predictions": branches}
 
 
 POINT = "struct<step:int,t:double,lon:double,lat:double,sog:double,cog:double>"
@@ -246,54 +254,106 @@ RESULT = f"mmsi long, t double, segment int, status string, cluster_id int, matc
 NAMES = [c.split()[0] for c in RESULT.replace("<", "(").split(", ")]
 
 
-def step(mmsi: int, track: Track, row: tuple, cleaning: Cleaning, interval: float, rules: Prediction, forecaster: Forecaster | None) -> dict | None:
-    """A message's result, if it was accepted and the track is ready."""
-    t, lon, lat, sog, cog = row
+def step(mmsi: int, track: Track, row: tuple, cleaning: Cleaning, interval: float, rules: Prediction, forecaster: Forecaster | None, every: bool = False) -> dict | None:
+    """A message's result, if it was accepted and the track is ready. With ``every`` any other message has a result
+    too: ``buffering`` where the vessel has a track that is not full or did not take the message, else ``no_buffer``."""
+    t, lon, lat, sog, cog, *seen = row
     if not track.accept(float(t), lon, lat, sog, cog, cleaning, interval, rules.timeout_seconds) or not track.ready:
-        return None
-    found = forecaster.answer(mmsi, track, float(t)) if forecaster else {"status": "ready", "points": []}
+        if not every:
+            return None
+        found = {"status": "buffering" if track.grid else "no_buffer", "points": []}
+        return {k: None for k in NAMES} | found | {"mmsi": mmsi, "t": float(t), "segment": track.segment, "prediction_count": 0, "schema_version": "1"}
+    found = forecaster.answer(mmsi, track, float(t), seen[0] if seen else None) if forecaster else {"status": "ready", "points": []}
     return {k: None for k in NAMES} | found | {"mmsi": mmsi, "t": float(t), "segment": track.segment, "prediction_count": len(found["points"]), "window": [p[1:] for p in track.grid], "schema_version": "1"}
 
 
-def replay(messages: DataFrame, assets: Assets | None = None, cleaning: Cleaning = Cleaning(), resampling: Resampling = Resampling(), rules: Prediction = Prediction(), arrival: str = "arrival") -> DataFrame:
+def shaped(points: list[dict]) -> list[dict]:
+    """Predicted points as (lon, lat, sog, cog, t); the time may be named ``timestamp``. A point without one is an error."""
+    out = []
+    for p in points:
+        t = p.get("timestamp", p.get("t"))
+        if t is None:
+            raise ValueError("a predicted point needs a timestamp")
+        out.append({**{c: float(p[c]) for c in ("lon", "lat", "sog", "cog")}, "t": float(t)})
+    return out
+
+
+_made: dict[int, tuple] = {}
+
+
+def forecaster_of(shared) -> Forecaster | None:
+    """The forecaster of a broadcast (assets, rules, cleaning, interval), made once in each worker."""
+    held = shared.value
+    if held[0] is None:
+        return None
+    if _made.get(id(held), (None,))[0] is not held:
+        _made.clear()
+        _made[id(held)] = held, Forecaster(*held)
+    return _made[id(held)][1]
+
+
+def dealt(messages: DataFrame, arrival: str, counts: DataFrame | None) -> DataFrame:
+    """Messages with a vessel and a time, with the vessel's past voyages (mmsi, cluster_id, voyages) as JSON in ``seen``."""
+    wanted = messages.where("mmsi IS NOT NULL AND t IS NOT NULL").select("mmsi", arrival, "t", "lon", "lat", "sog", "cog")
+    if counts is None:
+        return wanted.withColumn("seen", F.lit(None).cast("string"))
+    entry = F.struct(F.col("cluster_id").cast("string"), F.col("voyages").cast("long"))
+    packed = counts.groupBy("mmsi").agg(F.to_json(F.map_from_entries(F.collect_list(entry))).alias("seen"))
+    return wanted.join(packed, "mmsi", "left").withColumn("seen", F.coalesce("seen", F.lit("{}")))
+
+
+def fitted(rules: Prediction, assets: Assets | None) -> Prediction:
+    """Rules whose tracks are long enough for the longest window of any route."""
+    longest = max((r.steps for r in assets.routes.values()), default=0) if assets else 0
+    return replace(rules, capacity=max(rules.capacity, longest))
+
+
+def replay(messages: DataFrame, assets: Assets | None = None, cleaning: Cleaning = Cleaning(), resampling: Resampling = Resampling(), rules: Prediction = Prediction(), arrival: str = "arrival", counts: DataFrame | None = None, every: bool = False) -> DataFrame:
     """The results of a table of messages (mmsi, t, lon, lat, sog, cog, arrival).
 
     Rows are sorted inside partitions, and one vessel's track is in memory at a time.
+    Past voyages are joined by vessel, so no task holds those of all. ``every`` adds
+    a row for each message without an answer.
     """
-    dealt = messages.where("mmsi IS NOT NULL AND t IS NOT NULL").select("mmsi", arrival, "t", "lon", "lat", "sog", "cog").repartition("mmsi").sortWithinPartitions("mmsi", arrival)
+    rules = fitted(rules, assets)
+    shared = messages.sparkSession.sparkContext.broadcast((assets, rules, cleaning, resampling.seconds))  # the routes of a port
+    ordered = dealt(messages, arrival, counts).repartition("mmsi").sortWithinPartitions("mmsi", arrival)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        forecaster = Forecaster(assets, rules, cleaning, resampling.seconds) if assets else None
+        forecaster = forecaster_of(shared)
         current, track = None, None
         for batch in batches:
             rows = []
             for mmsi, _, *row in batch.itertuples(index=False, name=None):
                 if mmsi != current:
                     current, track = mmsi, Track(rules.capacity)
-                found = step(int(mmsi), track, tuple(row), cleaning, resampling.seconds, rules, forecaster)
+                found = step(int(mmsi), track, tuple(row), cleaning, resampling.seconds, rules, forecaster, every)
                 if found:
                     rows.append(found)
             yield pd.DataFrame(rows, columns=NAMES)
 
-    return dealt.mapInPandas(run, RESULT)
+    return ordered.mapInPandas(run, RESULT)
 
 
-def follow(messages: DataFrame, assets: Assets | None = None, cleaning: Cleaning = Cleaning(), resampling: Resampling = Resampling(), rules: Prediction = Prediction(), arrival: str = "arrival", idle_ms: int | None = 24 * 3600 * 1000) -> DataFrame:
+def follow(messages: DataFrame, assets: Assets | None = None, cleaning: Cleaning = Cleaning(), resampling: Resampling = Resampling(), rules: Prediction = Prediction(), arrival: str = "arrival", idle_ms: int | None = 24 * 3600 * 1000, counts: DataFrame | None = None, every: bool = False) -> DataFrame:
     """The same for a stream. A track that hears nothing for ``idle_ms`` is forgotten; with None none ever is."""
     from pyspark.sql.streaming.state import GroupStateTimeout
 
+    rules = fitted(rules, assets)
+    shared = messages.sparkSession.sparkContext.broadcast((assets, rules, cleaning, resampling.seconds))
+
     def run(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
         track = Track.load(state.get[0]) if state.exists else Track(rules.capacity)
-        forecaster = Forecaster(assets, rules, cleaning, resampling.seconds) if assets else None
-        heard = pd.concat(list(batches)).sort_values(arrival, kind="stable")
-        rows = [x for row in heard[["t", "lon", "lat", "sog", "cog"]].itertuples(index=False, name=None) if (x := step(int(key[0]), track, row, cleaning, resampling.seconds, rules, forecaster))]
+        track.resize(rules.capacity)
+        heard = pd.concat(list(batches)).sort_values(arrival, kind="stable")  # of one vessel since the last trigger
+        forecaster = forecaster_of(shared)
+        rows = [x for row in heard[["t", "lon", "lat", "sog", "cog", "seen"]].itertuples(index=False, name=None) if (x := step(int(key[0]), track, row, cleaning, resampling.seconds, rules, forecaster, every))]
         state.update((track.dump(),))
         if idle_ms is not None:
             state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame(rows, columns=NAMES)
 
-    wanted = messages.where("mmsi IS NOT NULL AND t IS NOT NULL").select("mmsi", arrival, "t", "lon", "lat", "sog", "cog")
-    return wanted.groupBy("mmsi").applyInPandasWithState(run, RESULT, "track string", "append", GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout)
+    return dealt(messages, arrival, counts).groupBy("mmsi").applyInPandasWithState(run, RESULT, "track string", "append", GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout)

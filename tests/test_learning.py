@@ -75,3 +75,18 @@ def test_settings():
     assert fresh.cleaning.sog_max == 30.0 and fresh.with_domain_box().cleaning.box == fresh.domain.box
     assert Settings().with_domain_box() == Settings() and Settings().with_interval(60.0).resampling.seconds == 60.0
     assert '"sog_max": 30.0' in snapshot(fresh)
+
+
+def test_unequal_and_empty_tracks(spark):
+    import math
+
+    from fairlead.operators import evaluate
+
+    rows = "traj_id long, step int, lon double, lat double, sog double, cog double"
+    guess, truth = spark.createDataFrame([(1, 1, 1.0, 2.0, 3.0, 4.0), (1, 2, 1.0, 2.0, 3.0, 4.0)], rows), spark.createDataFrame([(1, 1, 1.0, 2.0, 3.0, 4.0)], rows)
+    assert evaluate.step_errors(guess, truth).count() == 1 and evaluate.step_errors(truth, truth, strict=True).count() == 1
+    with pytest.raises(Exception, match="differ in length"):
+        evaluate.step_errors(guess, truth, strict=True).collect()
+    named = spark.createDataFrame([(1,), (9,)], "traj_id long")
+    got = {r["traj_id"]: r for r in evaluate.by_trajectory(evaluate.step_errors(guess, truth), trajectories=named).collect()}
+    assert got[1]["ade"] == 0 and math.isnan(got[9]["ade"]) and math.isnan(got[9]["norm_space_fit"])

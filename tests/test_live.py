@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from fairlead.config import Box, Cleaning, Prediction
 from fairlead.operators.lstm import Lstm
 from fairlead.sources import live
+from fairlead.streaming import vessel
 from fairlead.streaming.vessel import Assets, Forecaster, Route, Track, follow, replay
 
 WIDE = dataclasses.replace(Cleaning(), box=Box(-180, -90, 180, 90))
@@ -166,3 +167,45 @@ def test_windows_for_prediction(spark):
     params = spark.createDataFrame([(0, *bounds, "1")], "cluster_id int, lon_min double, lon_max double, lat_min double, lat_max double, sog_min double, sog_max double, cog_min double, cog_max double, schema_version string")
     ahead = lstm.predict_ahead(windows.withColumn("cluster_id", F.lit(0)), models, params)
     assert ahead.count() == 45 and np.isfinite([r["lon"] for r in ahead.collect()]).all()
+
+
+def test_vessel_counts_statuses_and_shapes():
+    near = Forecaster(Assets(routes(spread=0.0), counts={(1, 1): 3}), Prediction(), WIDE)
+    assert near.shares(1, [0, 1], '{"0": 1, "1": 3}') == {0: 0.25, 1: 0.75} and near.shares(1, [0, 1], "{}") == {0: 0.5, 1: 0.5}
+    assert vessel.fitted(Prediction(), Assets({1: vessel.Route(1, [], 20)})).capacity == 20
+    track = Track(2)
+    told = [vessel.step(1, track, (t, lon, 30.0, 1.0, None), WIDE, 120.0, Prediction(capacity=2), None, True) for t, lon in ((0.0, 999.0), (0.0, 114.0), (60.0, 114.0), (120.0, 114.0))]
+    assert [x["status"] for x in told] == ["no_buffer", "buffering", "buffering", "ready"]
+    assert vessel.shaped([{"lon": 1, "lat": 2, "sog": 3, "cog": 4, "timestamp": 5}]) == [{"lon": 1.0, "lat": 2.0, "sog": 3.0, "cog": 4.0, "t": 5.0}]
+    with pytest.raises(ValueError):
+        vessel.shaped([{"lon": 1, "lat": 2, "sog": 3, "cog": 4}])
+
+
+def test_messages_from_a_web_address(spark, tmp_path):
+    import http.server
+    import threading
+    import time
+
+    asked = []
+
+    class Answers(http.server.BaseHTTPRequestHandler):
+        def do_GET(self):
+            asked.append(1)
+            self.send_response(500 if len(asked) == 2 else 200)
+            self.end_headers()
+            self.wfile.write(b'[{"MMSI": 5, "Timestamp": %d, "LON": 1.5, "LAT": 2.5}]' % len(asked))
+
+        def log_message(self, *_):
+            pass
+
+    server = http.server.HTTPServer(("127.0.0.1", 0), Answers)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    stream = live.watch_url(spark, f"http://127.0.0.1:{server.server_port}/", every=0.2)
+    running = stream.writeStream.format("memory").queryName("heard").option("checkpointLocation", str(tmp_path)).start()
+    until = time.time() + 90
+    while time.time() < until and spark.table("heard").count() < 4:
+        time.sleep(1)
+    running.stop()
+    server.shutdown()
+    times = [r["t"] for r in spark.table("heard").orderBy("t").collect()]
+    assert times[:4] == [1.0, 3.0, 4.0, 5.0]
