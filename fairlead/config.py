@@ -8,6 +8,9 @@ from dataclasses import dataclass, field
 from typing import Any
 
 
+# The defaults of all records below are those of the method.
+
+
 @dataclass(frozen=True)
 class Box:
     lon_min: float
