@@ -6,6 +6,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 import xxhash
@@ -524,7 +525,7 @@ def test_lm_gradient_and_learning():
 def test_lm_scores_beat_word_counts(spark, docs):
     rows = lm_score.score(docs).collect()
     n, total = sum(r["n_tokens"] for r in rows), sum(r["log_prob"] for r in rows)
-    words, _ = lm_score.train(docs, "text", lm_score.LmRules(rounds=0))
+    words = lm_score.count_words(docs, "text", lm_score.LmRules()).words
     known = {w: k for k, w in enumerate(words)}
     counts = Counter(known.get(w, len(words) + lm_score.word_class(w)) for r in docs.collect() for w in (r["text"] or "").lower().encode().split())
     unigram = sum(c * np.log(c / n) for c in counts.values())
@@ -549,16 +550,22 @@ def test_lm_uncommon_words_count(spark):
 
 @pytest.mark.parametrize("rounds", [1, 2, 5])
 def test_lm_trains_on_every_place_once(texts, monkeypatch, rounds):
-    parts = [[(t or "").encode() for t in list(texts.values())[a : a + 20]] for a in (0, 20, 40)]
-    n = sum(len(t.split()) for part in parts for t in part)
     known = lm_score.Lookup({b"the": 0}, 1, np.zeros(1, np.int32), np.zeros(1))
+    size = 1 + lm_score.CLASSES
+
+    def stored(text):
+        words, numbers, _ = known.found([(text or "").encode()])
+        return lm_score.classes_of(words, numbers, known).astype(lm_score.code_type(size)).tobytes()
+
+    parts = [pa.array([stored(t) for t in list(texts.values())[a : a + 20]], pa.binary()) for a in (0, 20, 40)]
+    n = sum(len((t or "").encode().split()) for t in list(texts.values())[:60])
     seen = Counter()
 
     def noted(self, codes, places, state):
         seen.update((hash(codes.tobytes()), p) for p in places.tolist())
 
     monkeypatch.setattr(lm_score.Network, "fit", noted)
-    counts = [lm_score.train_part(iter(parts), turn, known, lm_score.Network(1 + lm_score.CLASSES, lm_score.LmRules(rounds=rounds)))[1] for turn in range(rounds)]
+    counts = [lm_score.train_part(iter(parts), turn, lm_score.Network(size, lm_score.LmRules(rounds=rounds)))[1] for turn in range(rounds)]
     assert sum(counts) == len(seen) == n and set(seen.values()) == {1} and min(counts) > 0
 
 
@@ -572,7 +579,7 @@ def test_lm_log_probabilities_equal_a_plain_loop(texts):
     known = lm_score.Lookup({w: k for k, w in enumerate(own)}, 5, np.arange(5, dtype=np.int32), np.zeros(5))
     network = lm_score.Network(5 + lm_score.CLASSES, rules, draw.standard_normal(5 + lm_score.CLASSES))
     words, numbers, sizes = known.found(bodies)
-    codes, places = lm_score.coded(words, numbers, sizes, known, rules)
+    codes, places = lm_score.coded(lm_score.classes_of(words, numbers, known), sizes, network.size, rules)
     got = network.log_probabilities(codes, places, step=7)
     code = lambda w: own.index(w) if w in own else 5 + lm_score.word_class(w)
     weights, at = {k: v.astype(float) for k, v in network.weights.items()}, 0
