@@ -98,7 +98,8 @@ def kind(word: str = "word"):
 @dataclass(frozen=True)
 class Words:
     """words: the table held by tasks, the classes of one word first; n_own: how many these are; outputs, shares: class
-    and log-share of its class of each word in the table; totals: occurrences in each class; rare: (word, n) of others."""
+    and log-share of its class of each word in the table; totals: occurrences in each class; rare: (word, n) of others
+    that occur more than once."""
 
     words: list[bytes]
     n_own: int
@@ -134,7 +135,9 @@ def count_words(docs: DataFrame, text_col: str, rules: LmRules) -> Words:
     shares = np.concatenate([np.zeros(len(own)), np.log(np.array([-n for n, _ in others], float) / (kinds[classes] + 1))])
     outputs = np.concatenate([np.arange(len(own)), len(own) + classes]).astype(np.int32)
     totals = np.concatenate([np.array([r["n"] for r in top], float), kinds])
-    rare = counts if least is None else counts.where(F.col("n") < least)
+    rare = counts.where(F.col("n") > 1)  # a word without a row counts one
+    if least is not None:
+        rare = rare.where(F.col("n") < least)
     return Words(own + [w for _, w in others], len(own), outputs, shares, totals, rare)
 
 
