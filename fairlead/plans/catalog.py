@@ -504,11 +504,34 @@ def routes_of(spark, sf_dir):
     tracks = settle(tracks)
     groups = members.select("pos", F.col("gid").alias("s_label"), F.col("gid").alias("e_label"))
     fine, heads = cluster.refine(groups, tracks)
-    merged = settle(cluster.merge(fine, heads, tracks, Clustering(merge_threshold=1.0)))
+    merged = settle(cluster.merge(fine, heads, tracks, Clustering(merge_threshold=MERGE_BELOW)))
     return (*cluster.finalize(merged, tracks), tracks)
 
 
-@query()
+def refine_sql(rules: Clustering = Clustering()) -> str:
+    """Groups split again and again, a few relations for each level: ``mem`` (cluster, pos) and ``cl`` (cluster, gid, rep, intra)."""
+    parts = [PAIRS_SQL + ", bw AS MATERIALIZED (SELECT a, b, d FROM dist UNION ALL SELECT b, a, d FROM dist), v0 AS MATERIALIZED (SELECT lpad((min(vec_id) OVER (PARTITION BY label))::VARCHAR, 20, '0') || '/' AS gid, vec_id AS pos FROM l)"]
+    levels = range(rules.max_depth + 2)
+    for k in levels:
+        parts.append(f"""z{k} AS MATERIALIZED (SELECT gid, min(pos) AS first, count(*) < {max(2, rules.min_size)} OR {k > rules.max_depth} AS closed FROM v{k} GROUP BY gid),
+    p{k} AS MATERIALIZED (SELECT v.gid, bw.a, bw.b, bw.d FROM bw JOIN v{k} v ON v.pos = bw.a JOIN v{k} w ON w.pos = bw.b AND w.gid = v.gid JOIN z{k} z ON z.gid = v.gid AND NOT closed),
+    h{k} AS (SELECT gid, arg_min(a, (total, a)) AS rep FROM (SELECT gid, a, sum(d) AS total FROM p{k} GROUP BY ALL) GROUP BY gid),
+    f{k} AS MATERIALIZED (SELECT p.gid, rep, p.b AS pos, p.d FROM p{k} p JOIN h{k} h ON h.gid = p.gid AND p.a = h.rep),
+    k{k} AS MATERIALIZED (SELECT gid, rep, pos, avg(d) OVER w AS mean, d > avg(d) OVER w + {rules.split_sigma}::DOUBLE * stddev_pop(d) OVER w AS away FROM f{k} WINDOW w AS (PARTITION BY gid)),
+    s{k} AS MATERIALIZED (SELECT gid, rep, avg(mean) AS mean, bool_or(away) AS split FROM k{k} GROUP BY gid, rep),
+    v{k + 1} AS MATERIALIZED (SELECT v.gid || CASE WHEN coalesce(away, false) THEN '1' ELSE '0' END AS gid, v.pos FROM v{k} v JOIN s{k} s ON s.gid = v.gid AND s.split LEFT JOIN k{k} k ON k.gid = v.gid AND k.pos = v.pos)""")
+    done = " UNION ALL ".join(f"SELECT gid, first AS rep, 0.0::DOUBLE AS intra FROM z{k} WHERE closed UNION ALL SELECT gid, rep, mean FROM s{k} WHERE NOT split" for k in levels)
+    held = " UNION ALL ".join(f"SELECT gid, pos FROM v{k}" for k in levels)
+    parts.append(f"cl AS MATERIALIZED (SELECT row_number() OVER (ORDER BY gid) - 1 AS cluster, gid, rep, intra FROM ({done})), mem AS MATERIALIZED (SELECT cluster, pos FROM ({held}) v JOIN cl ON cl.gid = v.gid)")
+    return ", ".join(parts)
+
+
+REFINED_SQL = refine_sql()
+#: Of the routes of the embeddings some are nearer than this, some not.
+MERGE_BELOW = 2.4
+
+
+@query(REFINED_SQL + " SELECT mem.cluster, pos, rep, round(intra, 6) AS intra_avg_dist FROM mem JOIN cl ON cl.cluster = mem.cluster")
 def refine_clusters(spark, sf_dir):
     members, tracks = vector_groups(spark, sf_dir)
     fine, heads = cluster.refine(members.select("pos", F.col("gid").alias("s_label"), F.col("gid").alias("e_label")), settle(tracks))
@@ -531,13 +554,36 @@ def merge_pairs(spark, sf_dir):
     return cluster.merge_pairs(heads, routes.select(F.col("cluster_id").alias("pos"), "path"), Clustering(merge_sigma=0.5))
 
 
-@query()
+def either_way(pairs: str, name: str) -> str:
+    """Distances ahead and to the reverse of the rows (g, a, b, ax, ay, bx, by) of a relation, as ``name`` (g, a, b, ahead, back)."""
+    reverse = f", {pairs}_r AS (SELECT g, a, b, ax, ay, list_reverse(bx) AS bx, list_reverse(byy) AS byy FROM {pairs})"
+    return reverse + dtw_sql(pairs, f"{name}_a") + dtw_sql(f"{pairs}_r", f"{name}_b") + f", {name} AS MATERIALIZED (SELECT x.g, x.a, x.b, x.d AS ahead, y.d AS back FROM {name}_a x JOIN {name}_b y ON x.g = y.g AND x.a = y.a AND x.b = y.b)"
+
+
+ROUTES_SQL = (
+    REFINED_SQL
+    + ", rp AS MATERIALIZED (SELECT 0 AS g, x.cluster AS a, y.cluster AS b, lx.xs AS ax, lx.ys AS ay, ly.xs AS bx, ly.ys AS byy FROM cl x JOIN l lx ON lx.vec_id = x.rep JOIN cl y ON x.cluster < y.cluster JOIN l ly ON ly.vec_id = y.rep)"
+    + either_way("rp", "rd")
+    + f""", ed AS MATERIALIZED (SELECT a, b FROM rd WHERE least(ahead, back) < {MERGE_BELOW}::DOUBLE UNION SELECT b, a FROM rd WHERE least(ahead, back) < {MERGE_BELOW}::DOUBLE),
+    rc AS (SELECT cluster AS node, cluster AS root FROM cl UNION SELECT ed.b, rc.root FROM rc JOIN ed ON ed.a = rc.node),
+    ow AS (SELECT node AS cluster, dense_rank() OVER (ORDER BY min(root)) - 1 AS cluster_id FROM rc GROUP BY node),
+    fm AS MATERIALIZED (SELECT cluster_id::INTEGER AS cluster_id, pos FROM mem JOIN ow ON ow.cluster = mem.cluster),
+    fp AS MATERIALIZED (SELECT x.cluster_id AS g, x.pos AS a, y.pos AS b, lx.xs AS ax, lx.ys AS ay, ly.xs AS bx, ly.ys AS byy FROM fm x JOIN fm y ON x.cluster_id = y.cluster_id AND x.pos < y.pos JOIN l lx ON lx.vec_id = x.pos JOIN l ly ON ly.vec_id = y.pos)"""
+    + either_way("fp", "fd")
+    + """, fb AS MATERIALIZED (SELECT g, a, b, ahead, back FROM fd UNION ALL SELECT g, b, a, ahead, back FROM fd),
+    fh AS (SELECT g, arg_min(a, (total, a)) AS rep FROM (SELECT g, a, sum(least(ahead, back)) AS total FROM fb GROUP BY ALL) GROUP BY g),
+    rt AS MATERIALIZED (SELECT n.cluster_id, coalesce(rep, first) AS rep, size FROM (SELECT cluster_id, min(pos) AS first, count(*) AS size FROM fm GROUP BY cluster_id) n LEFT JOIN fh ON fh.g = n.cluster_id),
+    tr AS MATERIALIZED (SELECT rt.cluster_id, fb.b AS pos, ahead, back FROM rt JOIN fb ON fb.g = rt.cluster_id AND fb.a = rt.rep)"""
+)
+
+
+@query(ROUTES_SQL + " SELECT fm.cluster_id, fm.pos, coalesce(back < ahead, false) AS flip, size FROM fm JOIN rt ON rt.cluster_id = fm.cluster_id LEFT JOIN tr ON tr.cluster_id = fm.cluster_id AND tr.pos = fm.pos")
 def merge_clusters(spark, sf_dir):
     clusters, members, _ = routes_of(spark, sf_dir)
     return members.join(clusters.select("cluster_id", "size"), "cluster_id")
 
 
-@query()
+@query(ROUTES_SQL + " SELECT rt.cluster_id, rep, round(coalesce(mean, 0), 6) AS intra_avg_dist, size FROM rt LEFT JOIN (SELECT cluster_id, avg(least(ahead, back)) AS mean FROM tr GROUP BY cluster_id) q ON q.cluster_id = rt.cluster_id")
 def cluster_quality(spark, sf_dir):
     return rounded(routes_of(spark, sf_dir)[0])
 

@@ -7,8 +7,6 @@ from fairlead.plans import catalog
 from .compare import same, tables
 from .conftest import SMALL
 
-SLOW = {"merge_clusters", "cluster_quality"}
-
 
 @pytest.fixture(scope="module")
 def db():
@@ -20,7 +18,7 @@ def test_query_equals_sql(spark, db, name):
     same(catalog.QUERIES[name](spark, SMALL), catalog.ORACLE_SQL[name], db)
 
 
-@pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLE_SQL) - SLOW))
+@pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLE_SQL)))
 def test_query_runs(spark, name):
     assert catalog.QUERIES[name](spark, SMALL).count() > 0
 
