@@ -3,18 +3,21 @@
 from __future__ import annotations
 
 import dataclasses
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import Berth, Box, Cleaning, Clustering, Domain, Prediction, Resampling, Training, Voyages
+from ..config import Berth, Box, Cleaning, Clustering, Domain, Prediction, Resampling, Settings, Training, Voyages
 from ..functions import geo
 from ..functions.dtw import dtw_column
 from ..operators import clean, cluster, evaluate, folds, learn, lstm, match, resample, spatial, voyage
-from ..operators.components import settle
+from ..operators.components import forget, settle, shared_folder
 from ..sources import live
 from ..sources import reports as report_files
+from ..streaming.vessel import replay
+from . import offline
 from .views import PATH_POINTS_SQL, haversine_sql, paths, positions, positions_sql, table
 
 ORDER = ("t", "event_id")
@@ -781,9 +784,13 @@ def typed_reports(spark, sf_dir):
 # Models and live data
 
 
+#: A small model for each route: few passes, one short window, a narrow layer.
+SMALL_TRAINING = Training(epochs=3, steps=((float("inf"), 8),), width=((float("inf"), 8),))
+
+
 @query()
 def lstm_train(spark, sf_dir):
-    rules = Training(epochs=3, steps=((float("inf"), 8),), width=((float("inf"), 8),))
+    rules = SMALL_TRAINING
     points = scaled_points(spark, sf_dir)
     named = points.select("cluster_id", F.col("traj_id").alias("pos")).distinct()
     parts = learn.split_at_random(named, rules).withColumnRenamed("pos", "traj_id")
@@ -794,6 +801,28 @@ def lstm_train(spark, sf_dir):
 
 @query()
 def live_replay(spark, sf_dir):
-    from ..streaming.vessel import replay
-
     return replay(positions(spark, sf_dir, 10).withColumn("arrival", F.col("event_id")), cleaning=ANY_BOX).drop("window")
+
+
+@query()
+def live_predict(spark, sf_dir):
+    """All messages against five routes with models, channels and past voyages, saved by a run and loaded again; a row for each message.
+
+    Each route is the first of its voyages. What the run saved is deleted once it is loaded.
+    """
+    settings = dataclasses.replace(Settings(), cleaning=ANY_BOX, training=SMALL_TRAINING)
+    long = trajectories(spark, sf_dir, 10)
+    owned = settle(long.select((F.col("traj_id") % 5).cast("int").alias("cluster_id"), F.col("traj_id").alias("pos"), "mmsi", "t", *learn.FEATURES))
+    members = settle(owned.select("cluster_id", "pos").distinct())
+    tracks = settle(cluster.pack_paths(owned))
+    heads = members.groupBy("cluster_id").agg(F.min("pos").alias("rep"), F.count("*").alias("size"), F.lit(0.0).alias("intra_avg_dist"))
+    routes = settle(heads.join(tracks.withColumnRenamed("pos", "rep"), "rep"))
+    found = offline.Routes(routes, members, tracks, settle(learn.norm_params(owned)), settle(learn.route_shape(routes, settings.training)), cluster.voyage_counts(owned, members), cluster.unknown_threshold(routes))
+    folder = f"{shared_folder(spark)}/live-{uuid.uuid4().hex}"
+    offline.save(folder, found, offline.train_models(owned, found, settings), settings)
+    assets, counts = offline.load_assets(spark, folder)
+    counts = settle(counts)
+    forget(spark, folder)
+    assets.channels = dict(CHANNELS)
+    messages = positions(spark, sf_dir, 10).withColumn("arrival", F.col("event_id"))
+    return replay(messages, assets, ANY_BOX, counts=counts, every=True).drop("window")
