@@ -32,6 +32,11 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def dealt_by(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows dealt by keys to all shuffle partitions; a count that is named is kept, so few but costly rows are not put into one task."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def forget(spark: SparkSession, path: str) -> None:
     """Delete a folder, in whatever store it lies."""
     place = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -784,19 +784,21 @@ def typed_reports(spark, sf_dir):
 # Models and live data
 
 
-#: A small model for each route: few passes, one short window, a narrow layer.
-SMALL_TRAINING = Training(epochs=3, steps=((float("inf"), 8),), width=((float("inf"), 8),))
+def first_routes(spark, sf_dir, training: Training, scale: float = 1.0) -> tuple[DataFrame, offline.Routes]:
+    """Points of five routes, and the routes; the path of each is that of its first voyage."""
+    long = trajectories(spark, sf_dir, scale)
+    owned = settle(long.select((F.col("traj_id") % 5).cast("int").alias("cluster_id"), F.col("traj_id").alias("pos"), "mmsi", "t", *learn.FEATURES))
+    members = settle(owned.select("cluster_id", "pos").distinct())
+    tracks = settle(cluster.pack_paths(owned))
+    heads = members.groupBy("cluster_id").agg(F.min("pos").alias("rep"), F.count("*").alias("size"), F.lit(0.0).alias("intra_avg_dist"))
+    routes = settle(heads.join(tracks.withColumnRenamed("pos", "rep"), "rep"))
+    return owned, offline.Routes(routes, members, tracks, settle(learn.norm_params(owned)), settle(learn.route_shape(routes, training)), cluster.voyage_counts(owned, members), cluster.unknown_threshold(routes))
 
 
 @query()
 def lstm_train(spark, sf_dir):
-    rules = SMALL_TRAINING
-    points = scaled_points(spark, sf_dir)
-    named = points.select("cluster_id", F.col("traj_id").alias("pos")).distinct()
-    parts = learn.split_at_random(named, rules).withColumnRenamed("pos", "traj_id")
-    made = learn.samples(points, 8, ("cluster_id", "traj_id"), ORDER).join(parts, ["cluster_id", "traj_id"])
-    shapes = named.select("cluster_id", F.lit(8).alias("steps"), F.lit(8).alias("width")).distinct()
-    return lstm.train_routes(made, shapes, rules).drop("weights")
+    """A model for each route by the production settings."""
+    return offline.train_models(*first_routes(spark, sf_dir, Training())).drop("weights")
 
 
 @query()
@@ -804,20 +806,18 @@ def live_replay(spark, sf_dir):
     return replay(positions(spark, sf_dir, 10).withColumn("arrival", F.col("event_id")), cleaning=ANY_BOX).drop("window")
 
 
+SMALL_TRAINING = Training(epochs=3, steps=((float("inf"), 8),), width=((float("inf"), 8),))
+
+
 @query()
 def live_predict(spark, sf_dir):
-    """All messages against five routes with models, channels and past voyages, saved by a run and loaded again; a row for each message.
+    """All messages against five routes with models, channels and past voyages, saved by a run and loaded again; a row for each message,
+    with the routes of its branches and the last of its predicted points.
 
-    Each route is the first of its voyages. What the run saved is deleted once it is loaded.
+    What the run saved is deleted once it is loaded. The models are small, as ``lstm_train`` trains those of production.
     """
     settings = dataclasses.replace(Settings(), cleaning=ANY_BOX, training=SMALL_TRAINING)
-    long = trajectories(spark, sf_dir, 10)
-    owned = settle(long.select((F.col("traj_id") % 5).cast("int").alias("cluster_id"), F.col("traj_id").alias("pos"), "mmsi", "t", *learn.FEATURES))
-    members = settle(owned.select("cluster_id", "pos").distinct())
-    tracks = settle(cluster.pack_paths(owned))
-    heads = members.groupBy("cluster_id").agg(F.min("pos").alias("rep"), F.count("*").alias("size"), F.lit(0.0).alias("intra_avg_dist"))
-    routes = settle(heads.join(tracks.withColumnRenamed("pos", "rep"), "rep"))
-    found = offline.Routes(routes, members, tracks, settle(learn.norm_params(owned)), settle(learn.route_shape(routes, settings.training)), cluster.voyage_counts(owned, members), cluster.unknown_threshold(routes))
+    owned, found = first_routes(spark, sf_dir, settings.training, 10)
     folder = f"{shared_folder(spark)}/live-{uuid.uuid4().hex}"
     offline.save(folder, found, offline.train_models(owned, found, settings), settings)
     assets, counts = offline.load_assets(spark, folder)
@@ -825,4 +825,7 @@ def live_predict(spark, sf_dir):
     forget(spark, folder)
     assets.channels = dict(CHANNELS)
     messages = positions(spark, sf_dir, 10).withColumn("arrival", F.col("event_id"))
-    return replay(messages, assets, ANY_BOX, counts=counts, every=True).drop("window")
+    answers = replay(messages, assets, ANY_BOX, counts=counts, every=True)
+    last = F.try_element_at("points", F.lit(-1))
+    shown = {"branches": F.array_sort(F.map_keys("branch_predictions")), "last_t": last["t"], "last_lon": last["lon"], "last_lat": last["lat"]}
+    return answers.withColumns(shown).drop("window", "points", "branch_predictions")

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from ..config import Cleaning, Prediction, Resampling
 from ..functions.dtw import windows_least
 from ..functions.geo import haversine_number
+from ..operators.components import dealt_by
 from ..operators.lstm import Lstm, forecast
 
 SAME = 1e-6
@@ -317,7 +318,7 @@ def replay(messages: DataFrame, assets: Assets | None = None, cleaning: Cleaning
     """
     rules = fitted(rules, assets)
     shared = messages.sparkSession.sparkContext.broadcast((assets, rules, cleaning, resampling.seconds))  # the routes of a port
-    ordered = dealt(messages, arrival, counts).repartition("mmsi").sortWithinPartitions("mmsi", arrival)
+    ordered = dealt_by(dealt(messages, arrival, counts), "mmsi").sortWithinPartitions("mmsi", arrival)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         forecaster = forecaster_of(shared)
