@@ -19,10 +19,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import Cleaning, Prediction, Resampling
-from ..functions.dtw import windows_least
+from ..functions.dtw import windows_least_many
 from ..functions.geo import haversine_number
 from ..operators.components import dealt_by
-from ..operators.lstm import Lstm, forecast
+from ..operators.lstm import Lstm, forecast_many
 
 SAME = 1e-6
 
@@ -128,6 +128,17 @@ class Track:
         return cls(**json.loads(text))
 
 
+class Moment(Track):
+    """A track as it was at a message, with what was found for it beforehand: distances to routes and predicted points by route."""
+
+    near: list[tuple[float, int]] | None = None
+    made: dict[int, np.ndarray] | None = None
+
+    @classmethod
+    def of(cls, track: Track) -> Moment:
+        return cls(track.capacity, track.segment, list(track.grid))
+
+
 @dataclass
 class Route:
     """What is known of a route: its path, window, model and bounds."""
@@ -160,11 +171,43 @@ class Forecaster:
         self.models = {k: Lstm.unpack(r.width, r.weights) for k, r in assets.routes.items() if r.weights is not None}
 
     def distances(self, track: Track, allowed: set[int] | None) -> list[tuple[float, int]]:
-        found = []
+        near = track.near if isinstance(track, Moment) and track.near is not None else self.all_distances([track])[0]
+        return [x for x in near if allowed is None or x[1] in allowed]
+
+    def all_distances(self, tracks: list[Track]) -> list[list[tuple[float, int]]]:
+        """For each track its distances to all routes, the least first."""
+        found: list[list[tuple[float, int]]] = [[] for _ in tracks]
         for k, route in self.assets.routes.items():
-            if (allowed is None or k in allowed) and len(track.grid) >= route.steps:
-                found.append((windows_least(track.window(route.steps)[:, :2], np.array(route.path, float)), k))
-        return sorted(found)
+            own = [n for n, track in enumerate(tracks) if len(track.grid) >= route.steps]
+            path = np.array(route.path, float)
+            for n, d in zip(own, windows_least_many([tracks[n].window(route.steps)[:, :2] for n in own], [path] * len(own))):
+                found[n].append((float(d), k))
+        return [sorted(x) for x in found]
+
+    def prepare(self, moments: list[Moment]) -> None:
+        """Distances and predictions of many moments, all of a route at once; any that ``answer`` lacks it makes itself."""
+        wanted: dict[int, list[Moment]] = {}
+        for moment, near in zip(moments, self.all_distances(moments)):
+            moment.near, moment.made = near, {}
+            for k in self.likely(moment):
+                if k in self.models and len(moment.grid) >= self.assets.routes[k].steps:
+                    wanted.setdefault(k, []).append(moment)
+        for k, own in wanted.items():
+            route = self.assets.routes[k]
+            made = forecast_many(self.models[k], np.stack([m.window(route.steps) for m in own]), np.array(route.low), np.array(route.high), self.rules.steps)
+            for moment, points in zip(own, made):
+                moment.made[k] = points
+
+    def forked(self, near: list[tuple[float, int]]) -> list[tuple[float, int]]:
+        """The nearest routes if they are a fork, else none."""
+        top = near[: max(2, self.rules.branches)]
+        return top if len(top) >= 2 and 0 < top[1][0] < math.inf and (top[1][0] - top[0][0]) / top[1][0] <= self.rules.fork_ratio else []
+
+    def likely(self, track: Track) -> list[int]:
+        """Routes that ``answer`` will predict, unless a branch is locked."""
+        allowed = self.fork_routes(track)
+        top = self.forked(self.distances(track, allowed)) if allowed is None or len(allowed) >= 2 else []
+        return [k for d, k in top if math.isfinite(d)] or [k for d, k in self.distances(track, None)[:1] if d <= self.assets.threshold]
 
     def fork_routes(self, track: Track) -> set[int] | None:
         """Routes that may fork here; None means anywhere, as no junctions are known."""
@@ -177,7 +220,9 @@ class Forecaster:
         route, model = self.assets.routes[cluster], self.models.get(cluster)
         if model is None or len(track.grid) < route.steps:
             return []
-        made = forecast(model, track.window(route.steps), np.array(route.low), np.array(route.high), self.rules.steps)
+        made = track.made.get(cluster) if isinstance(track, Moment) and track.made else None
+        if made is None:
+            made = forecast_many(model, track.window(route.steps)[None], np.array(route.low), np.array(route.high), self.rules.steps)[0]
         return [{"step": k + 1, "t": now + (k + 1) * self.interval, "lon": y[0], "lat": y[1], "sog": y[2], "cog": y[3]} for k, y in enumerate(made.tolist())]
 
     def channel_metres(self, lon: float, lat: float, line: list[tuple[float, float]]) -> float:
@@ -222,9 +267,8 @@ class Forecaster:
             track.fork = state = None
         allowed = self.fork_routes(track)
         near = self.distances(track, allowed) if allowed is None or len(allowed) >= 2 else []
-        top = near[: max(2, self.rules.branches)]
-        forked = len(top) >= 2 and 0 < top[1][0] < math.inf and (top[1][0] - top[0][0]) / top[1][0] <= self.rules.fork_ratio
-        if not forked:
+        top = self.forked(near)
+        if not top:
             track.fork = None
             best = (near if allowed is None else self.distances(track, None))[:1]
             if not best or not best[0][0] <= self.assets.threshold:
@@ -255,17 +299,43 @@ RESULT = f"mmsi long, t double, segment int, status string, cluster_id int, matc
 NAMES = [c.split()[0] for c in RESULT.replace("<", "(").split(", ")]
 
 
+def heard(mmsi: int, track: Track, row: tuple, cleaning: Cleaning, interval: float, rules: Prediction, every: bool = False) -> dict | Moment | None:
+    """Take in a message: the moment of the track if it was accepted and the track is ready. With ``every`` any other message has a
+    result: ``buffering`` where the vessel has a track that is not full or did not take the message, else ``no_buffer``."""
+    t, lon, lat, sog, cog, *_ = row
+    if track.accept(float(t), lon, lat, sog, cog, cleaning, interval, rules.timeout_seconds) and track.ready:
+        return Moment.of(track)
+    if not every:
+        return None
+    found = {"status": "buffering" if track.grid else "no_buffer", "points": []}
+    return {k: None for k in NAMES} | found | {"mmsi": mmsi, "t": float(t), "segment": track.segment, "prediction_count": 0, "schema_version": "1"}
+
+
+def answers(messages: list[tuple[int, Track, tuple]], cleaning: Cleaning, interval: float, rules: Prediction, forecaster: Forecaster | None, every: bool = False) -> list[dict]:
+    """The results of messages (mmsi, track, row) in order of vessel and arrival. Distances and predictions need only
+    the points of a track, so those of all messages are made at once; forks follow the messages one by one."""
+    forks = {id(track): (track.segment, track.fork) for _, track, _ in messages}
+    taken = [(mmsi, track, row, found) for mmsi, track, row in messages if (found := heard(mmsi, track, row, cleaning, interval, rules, every)) is not None]
+    if forecaster:
+        forecaster.prepare([found for *_, found in taken if isinstance(found, Moment)])
+    out = []
+    for mmsi, track, row, found in taken:
+        if isinstance(found, Moment):
+            moment, t, (segment, fork) = found, float(row[0]), forks[id(track)]
+            moment.fork = fork if segment == moment.segment else None  # a fork ends with its segment
+            made = forecaster.answer(mmsi, moment, t, row[5] if len(row) > 5 and row[5] else None) if forecaster else {"status": "ready", "points": []}
+            forks[id(track)] = moment.segment, moment.fork
+            found = {k: None for k in NAMES} | made | {"mmsi": mmsi, "t": t, "segment": moment.segment, "prediction_count": len(made["points"]), "window": [p[1:] for p in moment.grid], "schema_version": "1"}
+        out.append(found)
+    for _, track, _ in messages:
+        segment, fork = forks[id(track)]
+        track.fork = fork if segment == track.segment else None
+    return out
+
+
 def step(mmsi: int, track: Track, row: tuple, cleaning: Cleaning, interval: float, rules: Prediction, forecaster: Forecaster | None, every: bool = False) -> dict | None:
-    """A message's result, if it was accepted and the track is ready. With ``every`` any other message has a result
-    too: ``buffering`` where the vessel has a track that is not full or did not take the message, else ``no_buffer``."""
-    t, lon, lat, sog, cog, *seen = row
-    if not track.accept(float(t), lon, lat, sog, cog, cleaning, interval, rules.timeout_seconds) or not track.ready:
-        if not every:
-            return None
-        found = {"status": "buffering" if track.grid else "no_buffer", "points": []}
-        return {k: None for k in NAMES} | found | {"mmsi": mmsi, "t": float(t), "segment": track.segment, "prediction_count": 0, "schema_version": "1"}
-    found = forecaster.answer(mmsi, track, float(t), seen[0] if seen else None) if forecaster else {"status": "ready", "points": []}
-    return {k: None for k in NAMES} | found | {"mmsi": mmsi, "t": float(t), "segment": track.segment, "prediction_count": len(found["points"]), "window": [p[1:] for p in track.grid], "schema_version": "1"}
+    """A message's result, if it has one."""
+    return next(iter(answers([(mmsi, track, row)], cleaning, interval, rules, forecaster, every)), None)
 
 
 def shaped(points: list[dict]) -> list[dict]:
@@ -279,6 +349,9 @@ def shaped(points: list[dict]) -> list[dict]:
     return out
 
 
+#: Messages whose distances and predictions are made at once.
+MESSAGES = 2000
+
 _made: dict[int, tuple] = {}
 
 
@@ -324,14 +397,13 @@ def replay(messages: DataFrame, assets: Assets | None = None, cleaning: Cleaning
         forecaster = forecaster_of(shared)
         current, track = None, None
         for batch in batches:
-            rows = []
+            messages = []
             for mmsi, _, *row in batch.itertuples(index=False, name=None):
                 if mmsi != current:
                     current, track = mmsi, Track(rules.capacity)
-                found = step(int(mmsi), track, tuple(row), cleaning, resampling.seconds, rules, forecaster, every)
-                if found:
-                    rows.append(found)
-            yield pd.DataFrame(rows, columns=NAMES)
+                messages.append((int(mmsi), track, tuple(row)))
+            for a in range(0, len(messages), MESSAGES):
+                yield pd.DataFrame(answers(messages[a : a + MESSAGES], cleaning, resampling.seconds, rules, forecaster, every), columns=NAMES)
 
     return ordered.mapInPandas(run, RESULT)
 
@@ -349,9 +421,9 @@ def follow(messages: DataFrame, assets: Assets | None = None, cleaning: Cleaning
             return
         track = Track.load(state.get[0]) if state.exists else Track(rules.capacity)
         track.resize(rules.capacity)
-        heard = pd.concat(list(batches)).sort_values(arrival, kind="stable")  # of one vessel since the last trigger
-        forecaster = forecaster_of(shared)
-        rows = [x for row in heard[["t", "lon", "lat", "sog", "cog", "seen"]].itertuples(index=False, name=None) if (x := step(int(key[0]), track, row, cleaning, resampling.seconds, rules, forecaster, every))]
+        told = pd.concat(list(batches)).sort_values(arrival, kind="stable")  # of one vessel since the last trigger
+        messages = [(int(key[0]), track, row) for row in told[["t", "lon", "lat", "sog", "cog", "seen"]].itertuples(index=False, name=None)]
+        rows = answers(messages, cleaning, resampling.seconds, rules, forecaster_of(shared), every)
         state.update((track.dump(),))
         if idle_ms is not None:
             state.setTimeoutDuration(idle_ms)
