@@ -90,3 +90,19 @@ def test_unequal_and_empty_tracks(spark):
     named = spark.createDataFrame([(1,), (9,)], "traj_id long")
     got = {r["traj_id"]: r for r in evaluate.by_trajectory(evaluate.step_errors(guess, truth), trajectories=named).collect()}
     assert got[1]["ade"] == 0 and math.isnan(got[9]["ade"]) and math.isnan(got[9]["norm_space_fit"])
+
+
+def test_training_in_single_precision_and_bounded_memory():
+    import tracemalloc
+
+    draw = np.random.default_rng(2)
+    x, y = draw.random((4000, 8, 4)), draw.random((4000, 4))
+    model = lstm.Lstm.fresh(32, 1)
+    kinds = set()
+    step = model.forward
+    model.forward = lambda *a, **b: kinds.add((a[0].dtype.name, len(a[0]) <= 1024)) or step(*a, **b)
+    tracemalloc.start()
+    lstm.fit(model, (x, y), (x[:0], y[:0]), Training(epochs=1))
+    assert kinds == {("float32", True)} and tracemalloc.get_traced_memory()[1] < 30e6
+    tracemalloc.stop()
+    assert all(w.dtype == float for w in model.weights.values())
