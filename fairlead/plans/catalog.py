@@ -6,7 +6,7 @@ import dataclasses
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import Berth, Box, Cleaning, Clustering, Domain, Prediction, Resampling, Settings, Training, Voyages
@@ -59,6 +59,12 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     return df.select(*[F.round(c, digits).alias(c) if kind == "double" else F.col(c) for c, kind in df.dtypes])
 
 
+def rounded_length(length: Column, digits: int = 6) -> Column:
+    """A number that is not negative to so many digits, as ``round`` in SQL, without the decimal number that Spark makes for each row."""
+    power = F.lit(10.0**digits)
+    return F.when(length * power < F.lit(float(1 << 52)), F.floor(length * power + F.lit(0.5)) / power).otherwise(length)
+
+
 # Filters and projections
 
 
@@ -481,7 +487,7 @@ def vector_groups(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
 
 @query(PAIRS_SQL + " SELECT g AS gid, a, b, round(d, 6) AS d FROM dist")
 def dtw_pairs(spark, sf_dir):
-    return rounded(cluster.pair_distances(*vector_groups(spark, sf_dir)))
+    return cluster.pair_distances(*vector_groups(spark, sf_dir)).withColumn("d", rounded_length(F.col("d")))
 
 
 MEDOID_SQL = PAIRS_SQL + ", bw AS (SELECT g, a, b, d FROM dist UNION ALL SELECT g, b, a, d FROM dist), tot AS (SELECT g, a, sum(d) AS total FROM bw GROUP BY ALL), rep AS (SELECT g, arg_min(a, (total, a)) AS rep FROM tot GROUP BY g)"
