@@ -106,3 +106,23 @@ def test_training_in_single_precision_and_bounded_memory():
     assert kinds == {("float32", True)} and tracemalloc.get_traced_memory()[1] < 30e6
     tracemalloc.stop()
     assert all(w.dtype == float for w in model.weights.values())
+
+
+def test_each_route_trains_in_a_task_of_its_own(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(c, ("train", "validation", "test")[k % 3], [[k / 9, 0.5, None if k == 4 else 0.1, c / 5.0]] * (2 + c % 2), [0.1, 0.2, 0.3, k / 9]) for c in range(5) for k in range(9)]
+    samples = spark.createDataFrame(rows, "cluster_id int, split string, x array<array<double>>, y array<double>")
+    shapes = spark.createDataFrame([(c, 2 + c % 2, 3 + c) for c in range(5)], "cluster_id int, steps int, width int")
+    held = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", 12)  # a hash puts routes 0 and 3 into one task, 2 and 4 into another
+    try:
+        got = {r["cluster_id"]: r for r in lstm.train_routes(samples, shapes, Training(epochs=2)).withColumn("task", F.spark_partition_id()).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", held)
+    assert len({r["task"] for r in got.values()}) == len(got) == 5
+    for c, r in got.items():
+        assert (r["steps"], r["width"], r["n_train"], r["n_validation"], r["n_test"], r["epochs"]) == (2 + c % 2, 3 + c, 3, 3, 3, 2)
+        model = lstm.Lstm.unpack(r["width"], r["weights"])
+        own = [(x, y) for g, s, x, y in rows if g == c and s == "test"]
+        assert r["test_loss"] == pytest.approx(lstm.loss(model, np.array([x for x, _ in own], float), np.array([y for _, y in own])))
